@@ -30,7 +30,7 @@ WORDS = 4
 PERCENT = 85
 SLICES = 8  # vertical fragments of the verification
 BAND = 1.5  # ratio of the size bands that share one cutting
-CHUNK = 2_000_000  # bytes of text hashed at a time
+CHUNK = 400_000  # bytes of text hashed at a time
 _P = 0x9E3779B97F4A7C15 | 1
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -194,7 +194,7 @@ def _runs(key: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Star pairs (a, b) of sets that share a fragment: each map task sends one set per fragment, the others hang on it."""
     names = ["key", "a", "b"]
-    flush_rows = 2_000_000
+    flush_rows = 400_000
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -249,33 +249,26 @@ def _candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _bodies(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(set_id, slice, n, part): the n-grams of the named documents, cut into SLICES vertical fragments."""
+    """(set_id, n, parts): the n-grams of the named documents, cut into SLICES vertical fragments."""
     chosen = docs.select("doc_id", "text").join(ids.select("doc_id"), "doc_id", "left_semi")
+    edges = [np.uint64(i * (1 << 64) // SLICES) for i in range(1, SLICES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 500):
-                ids, at, ns, parts = [], [], [], []
-                for g in ngram_sets(b.column(0).slice(s, 500).to_pylist(), words):
-                    if not len(g):
-                        continue
-                    me = set_id(g)
-                    for k, part in enumerate(np.split(g, np.searchsorted(g, [np.uint64(i << 61) for i in range(1, SLICES)]))):
-                        ids.append(me)
-                        at.append(k)
-                        ns.append(len(g))
-                        parts.append(part.view(np.int64))
-                offsets = np.cumsum([0, *map(len, parts)])
-                flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(ns, pa.int64()), flat], names=["set_id", "slice", "n", "part"])
+            for s in range(0, b.num_rows, 200):
+                sets = [g for g in ngram_sets(b.column(0).slice(s, 200).to_pylist(), words) if len(g)]
+                parts = [p.view(np.int64) for g in sets for p in np.split(g, np.searchsorted(g, edges))]
+                inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+                outer = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SLICES, pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), outer], names=["set_id", "n", "parts"])
 
-    return chosen.select("text").mapInArrow(run, "set_id long, slice int, n long, part array<long>")
+    return chosen.select("text").mapInArrow(run, "set_id long, n long, parts array<array<bigint>>")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """The pairs that link: partial overlaps per vertical fragment, summed per pair."""
-    left = bodies.select(F.col("set_id").alias("a"), "slice", F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = bodies.select(F.col("set_id").alias("b"), "slice", F.col("n").alias("nb"), F.col("part").alias("pb"))
+    left = bodies.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.posexplode("parts").alias("slice", "pa"))
+    right = bodies.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.posexplode("parts").alias("slice", "pb"))
     counted = pairs.join(left, "a").join(right, ["b", "slice"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o"))
     summed = counted.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return summed.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
@@ -283,7 +276,6 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
 
 def _signature_rows(bodies: DataFrame, percent: int) -> DataFrame:
     """(sig, set_id, n) of the sets in ``bodies``."""
-    whole = bodies.groupBy("set_id", "n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slice", "part"))), lambda x: x["part"])).alias("grams"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,7 +283,7 @@ def _signature_rows(bodies: DataFrame, percent: int) -> DataFrame:
                 sig = signatures(grams.values.to_numpy().view(np.uint64), percent)
                 yield _batch(["sig", "set_id", "n"], sig, np.full(len(sig), me.as_py(), np.int64), np.full(len(sig), n.as_py(), np.int64))
 
-    return whole.select("set_id", "n", "grams").mapInArrow(run, "sig long, set_id long, n long")
+    return bodies.select("set_id", "n", F.flatten("parts").alias("grams")).mapInArrow(run, "sig long, set_id long, n long")
 
 
 def _label(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -319,7 +311,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     tried = written(_candidates(docs.where("doc_id IS NOT NULL"), words, percent), "jaccard-pairs")
     nodes = tried.select(F.col("a").alias("set_id")).union(tried.select(F.col("b").alias("set_id"))).distinct()
     ids = written(first.join(nodes, "set_id").select("doc_id"), "jaccard-ids")
-    bodies = written(_bodies(docs, ids, words).dropDuplicates(["set_id", "slice"]), "jaccard-bodies")
+    bodies = written(_bodies(docs, ids, words).dropDuplicates(["set_id"]), "jaccard-bodies")
     links = written(_verified(tried, bodies, percent), "jaccard-links")
     parts = connected_components(links)
     rows = _signature_rows(bodies, percent)
