@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_report
 from .common import small_batches
 from .common import table as plain_table
+from .embeddings import cosine_components
 from .jaccard import jaccard_components
 from .language import language_report
+from .licences import oracle_sql as licence_sql
+from .licences import scan_licences
 from .packing import pack_documents
 from .toxicity import toxicity_report
 from .warc import archive_report
@@ -38,6 +41,10 @@ def op6_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -46,9 +53,13 @@ def op9_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(table(spark, sf_dir, "conversations"))
 
 
+def op10_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_components(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_licence_digests": licence_sql()}
