@@ -101,7 +101,7 @@ def scan_licences(docs: DataFrame, known=KNOWN) -> DataFrame:
     base = docs.select("doc_id", "text")
     marked = base.where(F.col("doc_id").isNotNull() & F.col("text").rlike(f"(?i){MARKER}"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"(?i){MARKER}"))
-    units = marked.select("doc_id", F.explode(F.array_append(F.transform(lines, lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole"))), F.struct(F.col("text").alias("unit"), F.lit(True).alias("whole")))).alias("u"))
+    units = marked.select("doc_id", F.explode_outer(F.array_append(F.transform(lines, lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole"))), F.struct(F.col("text").alias("unit"), F.lit(True).alias("whole")))).alias("u"))
     digests = units.select("doc_id", F.col("u.whole").alias("whole"), F.sha2(canonical(F.col("u.unit")), 256).alias("digest"))
     # the registry is a constant of this module or a list handed over by the caller: its size is known here
     found = digests.join(F.broadcast(known_digests(spark, known)) if len(known) <= 10_000 else known_digests(spark, known), "digest")

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_report
 from .common import small_batches
 from .common import table as plain_table
+from .decontaminate import decontamination_report
 from .embeddings import cosine_components
+from .html_extract import extract_main_text
 from .jaccard import jaccard_components
 from .language import language_report
 from .licences import oracle_sql as licence_sql
@@ -25,10 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return plain_table(spark, sf_dir, name)
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_html_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
