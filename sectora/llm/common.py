@@ -15,8 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of a few MB, so that a worker's memory does not follow the row count."""
+    """Hand texts to Python in batches of a few MB, so that a worker's memory does not follow the row count,
+    and drop the shuffle files of each written table when it is written."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -265,13 +265,29 @@ def _bodies(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return chosen.select("text").mapInArrow(run, "set_id long, n long, parts array<array<bigint>>")
 
 
+def _overlaps(pairs: DataFrame, bodies: DataFrame, which: slice) -> DataFrame:
+    """(a, b, na, nb, o, d): overlap and difference of each pair summed over the vertical fragments in ``which``."""
+    parts = F.slice("parts", which.start + 1, which.stop - which.start)
+    left = bodies.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.posexplode(parts).alias("slice", "pa"))
+    right = bodies.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.posexplode(parts).alias("slice", "pb"))
+    counted = pairs.join(left, "a").join(right, ["b", "slice"])
+    counted = counted.select("a", "b", "na", "nb", (F.size("pa") + F.size("pb")).alias("l"), F.size(F.array_intersect("pa", "pb")).alias("o"))
+    return counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"), (F.sum("l") - 2 * F.sum("o")).alias("d"))
+
+
 def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link: partial overlaps per vertical fragment, summed per pair."""
-    left = bodies.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.posexplode("parts").alias("slice", "pa"))
-    right = bodies.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.posexplode("parts").alias("slice", "pb"))
-    counted = pairs.join(left, "a").join(right, ["b", "slice"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o"))
-    summed = counted.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return summed.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
+    """The pairs that link: partial overlaps per vertical fragment, summed per pair.
+
+    The first fragment goes ahead: a pair whose sizes do not fit or that differs
+    there by more than it may altogether is not counted further.
+    """
+    first = _overlaps(pairs, bodies, slice(0, 1))
+    n = F.col("na") + F.col("nb")
+    may = (F.col("d") * (100 + percent) <= n * (100 - percent)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    ahead = written(first.where(may).select("a", "b", F.col("o").alias("before")), "jaccard-ahead")
+    rest = _overlaps(ahead.select("a", "b"), bodies, slice(1, SLICES)).join(ahead, ["a", "b"])
+    total = F.col("o") + F.col("before")
+    return rest.where(total * 100 >= (n - total) * percent).select("a", "b")
 
 
 def _signature_rows(bodies: DataFrame, percent: int) -> DataFrame:
