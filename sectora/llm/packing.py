@@ -180,9 +180,10 @@ def _pack_round(pieces: DataFrame, groups: int, turn: int, last: bool, capacity:
     g = F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(groups)).cast("long").alias("g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        got = list(batches)
+        if not got:
             return
+        table = pa.Table.from_batches(got)
         group = table.column("g").to_numpy()
         for k in np.unique(group):
             part = table.filter(pa.array(group == k)).combine_chunks()
