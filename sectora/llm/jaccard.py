@@ -9,9 +9,12 @@ and no pair is lost.  A set so sparse that its differences could fill all its
 non-empty fragments also offers its prefix n-grams.  Candidates are verified
 fragment by fragment: partial overlaps are counted separately and summed per pair.
 
-Equal sets form one node from the start.  Candidates first form stars, with map-side
-combining, and only fragments whose sets are still in different components are
-compared further, so groups of copies are never expanded into all pairs.
+Equal sets form one node from the start.  N-grams that only one of the involved
+sets holds cap what that set can share: sets whose cap is too low for any link
+drop out, and a pair is compared only if both caps allow it.  The rest first form
+stars around the set of the highest cap, and only fragments whose sets are still
+in different components are compared further, so groups of copies are never
+expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -191,8 +194,8 @@ def _runs(key: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key, member, np.repeat(member[first], np.diff(np.append(first, len(key))))
 
 
-def _candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Star pairs (a, b) of sets that share a fragment: each map task sends one set per fragment, the others hang on it."""
+def _involved(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The ids of sets that share a fragment with another set; each map task sends one set per fragment."""
     names = ["key", "a", "b"]
     flush_rows = 400_000
 
@@ -241,11 +244,10 @@ def _candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
             key, member, low = _runs(np.concatenate(keys), np.concatenate(members))
             far = member != low
             done.append(np.stack([low[far], member[far]], 1))
-            pairs = np.unique(np.concatenate(done), axis=0)
-            yield _batch(["a", "b"], pairs[:, 0], pairs[:, 1])
+            yield _batch(["set_id"], np.unique(np.concatenate(done)))
 
     sent = docs.select("text").mapInArrow(emit, "key long, a long, b long")
-    return sent.repartition("key").mapInArrow(reduce, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return sent.repartition("key").mapInArrow(reduce, "set_id long").distinct()
 
 
 def _bodies(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -265,46 +267,66 @@ def _bodies(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return chosen.select("text").mapInArrow(run, "set_id long, n long, parts array<array<bigint>>")
 
 
-def _overlaps(pairs: DataFrame, bodies: DataFrame, which: slice) -> DataFrame:
-    """(a, b, na, nb, o, d): overlap and difference of each pair summed over the vertical fragments in ``which``."""
-    parts = F.slice("parts", which.start + 1, which.stop - which.start)
-    left = bodies.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.posexplode(parts).alias("slice", "pa"))
-    right = bodies.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.posexplode(parts).alias("slice", "pb"))
-    counted = pairs.join(left, "a").join(right, ["b", "slice"])
-    counted = counted.select("a", "b", "na", "nb", (F.size("pa") + F.size("pb")).alias("l"), F.size(F.array_intersect("pa", "pb")).alias("o"))
-    return counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"), (F.sum("l") - 2 * F.sum("o")).alias("d"))
+def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link: partial overlaps counted per vertical fragment and summed per pair."""
+    left = bodies.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
+    right = bodies.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
+    partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda t, x: t + x).cast("long").alias("o"))
+    return met.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link: partial overlaps per vertical fragment, summed per pair.
+def _capped(bodies: DataFrame, percent: int) -> DataFrame:
+    """(set_id, n, cap): how many n-grams of a set another involved set holds too; only sets whose cap allows a link."""
+    grams = bodies.select("set_id", F.explode(F.flatten("parts")).alias("gram"))
+    own = grams.groupBy("gram").agg(F.count("*").alias("c"), F.min("set_id").alias("set_id")).where("c = 1").groupBy("set_id").agg(F.count("*").alias("own"))
+    caps = bodies.select("set_id", "n").join(own, "set_id", "left").select("set_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("cap"))
+    return caps.where(F.col("cap") * 100 >= F.col("n") * percent)
+
+
+_INFO = ("set_id", "n", "cap", *(f"k{i}" for i in range(4)))
+
+
+def sketch(grams: np.ndarray) -> list[int]:
+    """256 parities, one for the n-grams of each residue: two sketches differ in no more bits than their sets in n-grams."""
+    odd = (np.bincount((grams & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
 
-    The first fragment goes ahead: a pair whose sizes do not fit or that differs
-    there by more than it may altogether is not counted further.
-    """
-    first = _overlaps(pairs, bodies, slice(0, 1))
-    n = F.col("na") + F.col("nb")
-    may = (F.col("d") * (100 + percent) <= n * (100 - percent)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    ahead = written(first.where(may).select("a", "b", F.col("o").alias("before")), "jaccard-ahead")
-    rest = _overlaps(ahead.select("a", "b"), bodies, slice(1, SLICES)).join(ahead, ["a", "b"])
-    total = F.col("o") + F.col("before")
-    return rest.where(total * 100 >= (n - total) * percent).select("a", "b")
 
+def _named(prefix: str) -> list:
+    return [F.col(c).alias(prefix + c) for c in _INFO]
 
-def _signature_rows(bodies: DataFrame, percent: int) -> DataFrame:
-    """(sig, set_id, n) of the sets in ``bodies``."""
+
+def _possible(percent: int, x: str = "x_", y: str = "y_"):
+    """Whether sizes, caps and sketches of two sets allow a link."""
+    n1, n2, cap1, cap2 = x + "n", y + "n", x + "cap", y + "cap"
+    bits = sum((F.bit_count(F.col(f"{x}k{i}").bitwiseXOR(F.col(f"{y}k{i}"))) for i in range(4)), F.lit(0))
+    apart = bits * (100 + percent) <= (F.col(n1) + F.col(n2)) * (100 - percent)
+    return _fitting(n1, cap1, n2, cap2, percent) & apart
+
+
+def _fitting(n1: str, cap1: str, n2: str, cap2: str, percent: int):
+    sizes = (F.col(n1) * 100 >= F.col(n2) * percent) & (F.col(n2) * 100 >= F.col(n1) * percent)
+    return sizes & (F.least(cap1, cap2) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent)
+
+
+def _signature_rows(bodies: DataFrame, caps: DataFrame, percent: int) -> DataFrame:
+    """(sig, set_id, n, cap, k0 .. k3) of the sets in ``caps``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for me, n, grams in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                sig = signatures(grams.values.to_numpy().view(np.uint64), percent)
-                yield _batch(["sig", "set_id", "n"], sig, np.full(len(sig), me.as_py(), np.int64), np.full(len(sig), n.as_py(), np.int64))
+            for me, n, cap, grams in zip(*b.columns, strict=True):
+                g = grams.values.to_numpy().view(np.uint64)
+                sig = signatures(g, percent)
+                yield _batch(["sig", *_INFO], sig, *(np.full(len(sig), x, np.int64) for x in (me.as_py(), n.as_py(), cap.as_py(), *sketch(g))))
 
-    return bodies.select("set_id", "n", F.flatten("parts").alias("grams")).mapInArrow(run, "sig long, set_id long, n long")
+    rows = bodies.select("set_id", F.flatten("parts").alias("grams")).join(caps, "set_id")
+    return rows.select("set_id", "n", "cap", "grams").mapInArrow(run, "sig long, " + ", ".join(f"{c} long" for c in _INFO))
 
 
 def _label(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """``rows`` (sig, set_id, n) with the component of each set, only for fragments that touch two components or more."""
-    named = written(rows.join(parts, rows.set_id == parts.node, "left").select("sig", "set_id", "n", F.coalesce("component", "set_id").alias("c")), "jaccard-sig")
+    """``rows`` (sig and the columns of a set) with the component of each set, only for fragments that touch two components or more."""
+    named = written(rows.join(parts, rows.set_id == parts.node, "left").select("sig", *_INFO, F.coalesce("component", "set_id").alias("c")), "jaccard-sig")
     torn = written(named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", "lo"), "jaccard-torn")
     out = written(named.join(torn, "sig"), "jaccard-open")
     remove(rows.sparkSession, named.scratch_path, torn.scratch_path)
@@ -324,25 +346,30 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sets = written(_set_rows(docs, words), "jaccard-sets")
     real = sets.where("n > 0 AND doc_id IS NOT NULL")
     first = written(real.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "jaccard-first")
-    tried = written(_candidates(docs.where("doc_id IS NOT NULL"), words, percent), "jaccard-pairs")
-    nodes = tried.select(F.col("a").alias("set_id")).union(tried.select(F.col("b").alias("set_id"))).distinct()
+    nodes = written(_involved(docs.where("doc_id IS NOT NULL"), words, percent), "jaccard-nodes")
     ids = written(first.join(nodes, "set_id").select("doc_id"), "jaccard-ids")
     bodies = written(_bodies(docs, ids, words).dropDuplicates(["set_id"]), "jaccard-bodies")
+    caps = written(_capped(bodies, percent), "jaccard-caps")
+    rows = written(_signature_rows(bodies, caps, percent), "jaccard-sig")
+    best = F.max(F.struct((F.col("y_cap") / F.col("y_n")).alias("share"), *(f"y_{c}" for c in _INFO))).alias("h")
+    found = [f"h.y_{c}" for c in _INFO]
+    pair = [F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")]
+    heads = rows.select("sig", *_named("y_")).groupBy("sig").agg(best, F.min("y_set_id").alias("lo"), F.max("y_set_id").alias("hi")).where("lo < hi").select(F.col("sig").alias("s"), *found)
+    heads = written(heads, "jaccard-heads")
+    met = rows.select("sig", *_named("x_")).join(heads, (F.col("sig") == F.col("s")) & (F.col("x_set_id") != F.col("y_set_id")) & _possible(percent))
+    tried = written(met.select(*pair).distinct(), "jaccard-pairs")
     links = written(_verified(tried, bodies, percent), "jaccard-links")
     parts = connected_components(links)
-    rows = _signature_rows(bodies, percent)
     for whole in (False, True):
         still = _label(rows, parts)
-        x = still.select("sig", "lo", F.col("set_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-        y = still.select("sig", F.col("set_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
-        if not whole:  # first only one set of each component and fragment against the sets of the others
-            heads = written(y.groupBy("sig", "cy").agg(F.min_by(F.struct("y", "ny"), "y").alias("h")).select("sig", "cy", F.col("h.y").alias("y"), F.col("h.ny").alias("ny")), "jaccard-heads")
-            y = heads
-            near = (F.col("cx") != F.col("cy")) & ((F.col("cx") == F.col("lo")) | (F.col("cy") == F.col("lo")))
-        else:
+        x = still.select("sig", "lo", F.col("c").alias("cx"), *_named("x_"))
+        y = still.select(F.col("sig").alias("s"), F.col("c").alias("cy"), *_named("y_"))
+        if whole:
             near = F.col("cx") < F.col("cy")
-        fits = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
-        fresh = x.join(y, "sig").where(near & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        else:  # first only the best set of each component and fragment against the sets of the others
+            y = written(y.groupBy("s", "cy").agg(best).select("s", "cy", *found), "jaccard-heads")
+            near = (F.col("cx") != F.col("cy")) & ((F.col("cx") == F.col("lo")) | (F.col("cy") == F.col("lo")))
+        fresh = x.join(y, (F.col("sig") == F.col("s")) & near & _possible(percent)).select(*pair).distinct()
         fresh = written(fresh.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         tried = tried.union(fresh)
         more = written(_verified(fresh, bodies, percent), "jaccard-links")
