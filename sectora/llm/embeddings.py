@@ -70,7 +70,7 @@ def _bucket_rows(classes: DataFrame, k: int, tables: int) -> DataFrame:
                 weights = np.random.default_rng(SEED + 1).integers(1, 1 << 62, k) * 2 + 1
                 keys = (cells * weights).sum(2) + dim
                 for t in range(tables):
-                    bucket = keys[:, t] * np.int64(0x5851F42D4C957F2D) + np.int64(t * 0x9E3779B97F4A7C1 + 1)
+                    bucket = keys[:, t] * np.int64(0x5851F42D4C957F2D) + np.int64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 62))
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(pick) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(pick), t, np.int32)), pa.array(reps[pick]), pa.array(mults[pick]), flat, part], names=names)
 
