@@ -87,7 +87,7 @@ def cache(spark, args) -> int:
 def build_site(spark, args) -> int:
     """The pages of all exported packs, and copies of their files."""
     packs = tables.scan_packs(spark, args.packs)
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(args.packs)
+    texts = spark.read.option("recursiveFileLookup", True).text(args.packs, wholetext=True)
     files = texts.select(F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)/((?:sections/|optional/)?[^/]+)$", 1).alias("folder"), F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)/((?:sections/|optional/)?[^/]+)$", 2).alias("name"), F.col("value").alias("content"))
     copies = files.select(F.concat_ws("/", "folder", "name").alias("path"), "content")
     meta = packs.select("cik", "accession", "company_name", "form_type", F.concat_ws("/", "cik", "directory").alias("folder"))

@@ -17,7 +17,7 @@ CACHE = "key string, url string, cached_at timestamp, size long, headers map<str
 
 def json_documents(spark: SparkSession, path: str, key_pattern: str = r"([^/]+)\.json$") -> DataFrame:
     """(cik, json): whole JSON files, the key taken from the file name."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.regexp_extract("_metadata.file_path", key_pattern, 1).alias("cik"), F.col("value").alias("json"))
 
 
@@ -32,7 +32,7 @@ def scan_packs(spark: SparkSession, path: str) -> DataFrame:
 
     ``directory`` is the name of the accession's folder, which company texts link to.
     """
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "manifest.json").option("recursiveFileLookup", True).text(path)
+    rows = spark.read.option("pathGlobFilter", "manifest.json").option("recursiveFileLookup", True).text(path, wholetext=True)
     where = "_metadata.file_path"
     rows = rows.select(F.regexp_extract(where, "([^/]+)/[^/]+/manifest.json$", 1).alias("d1"), F.regexp_extract(where, "([^/]+)/manifest.json$", 1).alias("directory"), F.from_json("value", MANIFEST).alias("m"))
     empty = lambda c: F.nullif(F.col(c), F.lit(""))
