@@ -25,7 +25,7 @@ CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 25_000  # pieces that one task packs at once
 MAX_ROUNDS = 8
-CACHE = 500_000  # bound: cached strings per worker and table
+CACHE = 800_000  # bound: cached strings per worker and table
 
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=>?@\[-`{-~]+")  # ASCII without ' and <, and Latin-1 letters
 _PIECE = re.compile(r"[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
@@ -47,11 +47,41 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         probe = "The cat's 42 (blue) hats,\n\tand  more."
+        plain = "The 42 (blue) hats, and"
         self.strings: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        joined = b"".join(self._raw(w) for w in probe.split())
-        parts = b"".join(self._raw(p) for w in "The 42 (blue) hats, and".split() for p in _PIECE.findall(w.lower()))
-        self.split = joined == self._raw(probe) and parts == self._raw("The 42 (blue) hats, and")
+        self.ends = self._word_ends()
+        pieces = [p for w in plain.split() for p in _PIECE.findall(w.lower())]
+        self.split = b"".join(map(self._raw, probe.split())) == self._raw(probe) and b"".join(map(self._raw, pieces)) == self._raw(plain)
+        self.bare = self._bare(path) if self.split and self.ends is not None else None
+        if self.bare and self._joined(pieces) != [self._raw(p) for p in pieces]:
+            self.bare = None
+
+    def _word_ends(self) -> np.ndarray | None:
+        """Which ids close a word, for vocabularies that mark word ends."""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        return ends if ends.any() else None
+
+    @staticmethod
+    def _bare(path: str):
+        """The same model for pieces that are normalised and cut already."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        t = Tokenizer.from_file(path)
+        t.normalizer = None
+        t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+        return t
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of many plain pieces from one text, parted at the ids that close a word."""
+        ids = np.asarray(self.bare.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        raw = ids.tobytes()
+        if len(cuts) != len(pieces):
+            return self._batch(pieces)
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def _raw(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -61,29 +91,38 @@ class CachedEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of ``text``."""
-        if not self.split or _CONTROL.search(text):
-            return self._raw(text)
-        words = text.split()
-        found = list(map(self.strings.get, words))
-        if None in found:
-            fresh = {w for w, b in zip(words, found, strict=True) if b is None}
-            made: dict[str, bytes] = {}
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what the caches lack is encoded at once for all of them."""
+        if not self.split:
+            return list(map(self._raw, texts))
+        whole = {i: self._raw(t) for i, t in enumerate(texts) if _CONTROL.search(t)}
+        words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
+        get = self.strings.get
+        found = [list(map(get, w)) for w in words]
+        fresh = {w for ws, bs in zip(words, found, strict=True) if None in bs for w, b in zip(ws, bs, strict=True) if b is None}
+        made: dict[str, bytes] = {}
+        if fresh:
             plain = {w: _PIECE.findall(w.lower()) for w in fresh if _PLAIN.fullmatch(w)}
-            parts = {p for ps in plain.values() for p in ps if p not in self.pieces}
+            pieces = list({p for ps in plain.values() for p in ps if p not in self.pieces})
+            coded = dict(zip(pieces, (self._joined if self.bare else self._batch)(pieces), strict=True)) if pieces else {}
             odd = [w for w in fresh if w not in plain]
-            order = [*parts, *odd]
-            coded = dict(zip(order, self._batch(order), strict=True)) if order else {}
-            for w in odd:
-                made[w] = coded[w]
-            if len(self.pieces) < CACHE:
-                self.pieces.update((p, coded[p]) for p in parts)
-            get = self.pieces.get
+            made.update(zip(odd, self._batch(odd), strict=True))
+            known = self.pieces
             for w, ps in plain.items():
-                made[w] = b"".join([get(p) or coded[p] for p in ps])
+                made[w] = b"".join([coded[p] if p in coded else known[p] for p in ps])
+            if len(known) < CACHE:
+                known.update(coded)
             if len(self.strings) < CACHE:
                 self.strings.update(made)
-            found = [made[w] if b is None else b for w, b in zip(words, found, strict=True)]
-        return b"".join(found)
+        out = []
+        for i, (ws, bs) in enumerate(zip(words, found, strict=True)):
+            if i in whole:
+                out.append(whole[i])
+            else:
+                out.append(b"".join([made[w] if b is None else b for w, b in zip(ws, bs, strict=True)] if None in bs else bs))
+        return out
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -104,14 +143,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
     tail = np.asarray([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_many
         serial = 0
         for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                part = b.slice(s, 2000)
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
                 rows = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    raw = encode(text.as_py() or "") + tail
+                coded = encode([t or "" for t in part.column(1).to_pylist()])
+                for doc_id, raw in zip(part.column(0).to_pylist(), coded, strict=True):
+                    raw += tail
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         piece = raw[at : at + 4 * capacity]
                         serial += 1
