@@ -314,3 +314,18 @@ def test_streaming_ingest(spark, tmp_path):
         spark.createDataFrame([row(n)], FILINGS).write.mode("append").parquet(land)
         ingest_sections(spark, land, target, state)
     assert sorted(r.accession for r in spark.read.parquet(target).collect()) == ["a1", "a2"]
+
+
+def test_pluggable_tokens(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from sectora.functions import tokens
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    body = "One sentence here. Another one follows! " * 40 + "x" * 500
+    assert column(spark, lambda c: tokens.count_tokens(c), body, "") == [len(body) // 4, 0]
+    n = len(tokens.encoder(ranks).encode_ordinary(body))
+    assert column(spark, lambda c: tokens.count_tokens(c, ranks), body, "") == [n, 0]
+    assert body.startswith(column(spark, lambda c: tokens.truncate(c, 5, ranks), body)[0])
+    got = tokens.spans_by_tokens(body, 30, ranks)
+    assert got[0][0] == 0 and got[-1][1] == len(body) and all(a[1] == b[0] for a, b in zip(got, got[1:], strict=False))
+    assert all(len(tokens.encoder(ranks).encode_ordinary(body[a:b])) <= 30 for a, b in got)
