@@ -66,6 +66,24 @@ def test_whole_items_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaked_items(docs, bench).collect()} >= expect
 
 
+def test_every_window_case_and_length_is_sought(spark):
+    rng = random.Random(8)
+    plain = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    base = plain(12)
+    edited = [*base[:1], "edit", *base[2:8], "edit", *base[9:]]  # equal runs of 1, 6 and 3 tokens
+    dense = "Then Paris 12 Rome 14 Oslo 16 Bern 18 Kiev 20 Riga 22 Baku 24"
+    pad = [" ".join(plain(k)) for k in (30, 31, 32)]
+    texts = [f"{p} {' '.join(edited)} {p}" for p in pad]
+    texts += [f"so {dense} so", "so Then Zagreb 5 Lima 6 Cairo 7 Quito 8 Seoul 9 Tunis 3 Hanoi 4 so"]
+    texts += [ITEM.upper(), ITEM.title(), ITEM.lower(), f"{pad[0]} what is 3.5 plus 7? {pad[1]}", f"{pad[0]} What is 3.7 plus 7? {pad[1]}", "WHERE IS OSLO", "where is Oslostad"]
+    items = [(1, " ".join(base)), (2, dense), (3, ITEM), (4, "What is 3.5 plus 7?"), (5, "Where is Oslo?")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaked_items(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (5, 3), (6, 3), (7, 3), (8, 4), (10, 5)}
+    odd = [ITEM, ITEM.upper(), ITEM.title(), "3 Kg of 4 KM, 1,200.5 M x1Y2 Öl", dense, None]
+    sizes = documents(spark, odd).select(F.size(decontaminate.template_tokens(F.col("text"))).alias("a"), F.size(decontaminate.folded_tokens(F.col("text"))).alias("b"))
+    assert sizes.where("a <> b").count() == 0
+
+
 # -- 2: packing -------------------------------------------------------------------------------------------------------
 
 
