@@ -2,8 +2,10 @@
 
 Every page scores its containers and votes for the generalised tag-class path of
 the best one; votes are counted per host in Spark; every page is then read again
-with its host's winning paths, and with its own best container only where none
-of them occurs in it or all of them miss most of its text.
+with its host's winning paths.  A path only locates the article: what is returned
+are the page's outermost main and article elements, and without them around the
+place all text that is not boilerplate.  A winning path counts only where it
+loses nothing of what the page's own best container leads to.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from .common import written
 
 PATHS = 4  # winning paths per host
 HOLDS = 0.8  # share of a container's text that one child must hold to take its place
-ENOUGH = 0.5  # share of the page's text that a winning path must reach
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -189,8 +190,20 @@ class Page:
             node = top
         return node
 
-    def text_of(self, chosen: list[Node]) -> str:
-        """Blocks below the chosen containers in page order, without lists and blocks that are mostly links."""
+    def region(self, located: list[Node]) -> list[Node]:
+        """What a located article belongs to: the outermost main and article elements if it is inside one, else the page."""
+        outer: list[Node] = []
+        inside: set[int] = set()
+        for n in self.nodes:  # parents come first
+            if n.parent is not None and id(n.parent) in inside:
+                inside.add(id(n))
+            elif n.path.rsplit(">", 1)[-1].split(".", 1)[0] in ("main", "article"):
+                inside.add(id(n))
+                outer.append(n)
+        return outer if located and all(id(n) in inside for n in located) else [self.root]
+
+    def _kept(self, chosen: list[Node]) -> list[bool]:
+        """Of every block whether it is below the chosen containers and not in a list or block that is mostly links."""
         inside: dict[int, bool] = {id(n): True for n in chosen}
 
         def within(n: Node | None) -> bool:
@@ -201,19 +214,25 @@ class Page:
                 inside[key] = within(n.parent)
             return inside[key]
 
-        return " ".join(t for n, t in self.blocks if within(n) and not (n.link_sum > 3 * n.sum and n.link_sum))
+        return [within(n) and not (n.link_sum > 3 * n.sum and n.link_sum) for n, _ in self.blocks]
+
+    def text_of(self, chosen: list[Node]) -> str:
+        """Blocks below the chosen containers in page order, without lists and blocks that are mostly links."""
+        return " ".join(t for (_, t), k in zip(self.blocks, self._kept(chosen), strict=True) if k)
 
     def vote(self) -> tuple[str, int]:
         node = self.best()
         return node.path, node.sum
 
     def extract(self, paths: list[str]) -> str:
-        best = self.best()
+        own = self.region([self.best()])
         for path in paths:
             hit = [n for n in self.nodes if n.path == path]
-            if hit and sum(n.sum for n in hit) >= ENOUGH * best.sum:
-                return self.text_of(hit)
-        return self.text_of([best])
+            if hit:
+                region = self.region(hit)
+                if all(k or not o for k, o in zip(self._kept(region), self._kept(own), strict=True)):
+                    return self.text_of(region)
+        return self.text_of(own)
 
 
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"

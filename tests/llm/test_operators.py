@@ -157,6 +157,20 @@ def test_main_text_by_host_consensus(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_nothing_but_boilerplate_is_dropped():
+    body = "".join(f"<p>{'long text ' * 20}{i}</p>" for i in range(3))
+    long = " ".join(f"{'long text ' * 20}{i}" for i in range(3))
+    nav = "<nav>menu</nav>"
+    page = html_extract.Page(f"<body>{nav}<article><h1>Head</h1><p>lead</p><div class=body><p>first</p><div><p>second</p><section>{body}</section></div></div></article><footer>foot</footer></body>")
+    assert page.extract([]) == page.extract([page.vote()[0]]) == f"Head lead first second {long}"
+    halves = html_extract.Page(f"<body>{nav}<div class=a><p>{'one ' * 60}</p></div><div class=b><p>{'two ' * 50}</p></div></body>")
+    assert halves.extract(["body>div.a"]) == ("one " * 60 + "two " * 50).strip()
+    divs = html_extract.Page(f"<body>{nav}<div class=wrap><h1>Head</h1><p>lead</p><div class=text>{body}</div></div></body>")
+    assert divs.extract([divs.vote()[0]]) == f"Head lead {long}"
+    two = html_extract.Page(f"<body><div><article>{body}</article></div><article><p>other</p></article></body>")
+    assert two.extract([]) == f"{long} other"
+
+
 def test_broken_markup_does_not_crash():
     rng = random.Random(5)
     parts = ["<p", ">", "</p>", "<div class='a\"b'>", "&amp;", "x", "<!--", "-->", "<script>", "</script", "<td>", "</table>", '"', "<article>", " ", "</body>"]
