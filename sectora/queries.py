@@ -457,8 +457,8 @@ def r26_stable_time(spark, d):
 
 
 def _filing_html(spark, d) -> DataFrame:
-    """Small filings in HTML, one per document."""
-    body = "'<html><body><h1>PART I</h1><h2>ITEM 1. Business</h2><p>' || replace(substr(text, 1, 200), chr(10), ' ') || '</p><h2>ITEM 2. Properties</h2><p>none</p></body></html>'".replace("chr(10)", "char(10)")
+    """Filings in HTML, one per document, with its whole text."""
+    body = "'<html><body><h1>PART I</h1><h2>ITEM 1. Business</h2><p>' || replace(text, chr(10), ' ') || '</p><h2>ITEM 2. Properties</h2><p>none</p></body></html>'".replace("chr(10)", "char(10)")
     return table(spark, d, "documents").select(
         F.lpad((F.col("doc_id") % 50).cast("string"), 10, "0").alias("cik"), F.format_string("%010d-24-%06d", F.col("doc_id") % 50, F.col("doc_id")).alias("accession"), F.lit("10-K").alias("form_type"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("filing_date"), F.concat(F.lit("Company "), (F.col("doc_id") % 50).cast("string")).alias("company_name"),
