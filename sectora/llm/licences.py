@@ -71,6 +71,34 @@ KNOWN = (
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 )
+#: SHA-256 of the canonical form of whole licences, with and without what follows their terms; each text holds a MARKER.
+FULL = (
+    ("Apache-2.0", "0d5838e6f6e5a374e58d608af5c01bc6a67cf18552dd7b346e5aef652b808ee9"),  # Apache-2.0
+    ("Apache-2.0", "0933e9fdf25f8a4aced10e10246650350123e13b939182f69b5ec6730ce2d793"),  # Apache-2.0 to the end of its terms, that line included
+    ("Apache-2.0", "a657010cc8660623635462386107381af70d2c7ec43ab36e27484c72cbb3b28f"),  # Apache-2.0 to the end of its terms
+    ("Artistic-1.0-Perl", "f273930184a9b8de03336e9ae5d74bef291165524044f55455ee5117f494811a"),  # Artistic
+    ("CC0-1.0", "8cedc79bc218a56208c67b3e5e20647251232cf41eb2a191e67cb40be495ffb9"),  # CC0-1.0
+    ("GFDL-1.2-only", "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142"),  # GFDL-1.2
+    ("GFDL-1.3-only", "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3"),  # GFDL-1.3
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),  # GPL-1
+    ("GPL-1.0-only", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),  # GPL-1 to the end of its terms, that line included
+    ("GPL-1.0-only", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),  # GPL-1 to the end of its terms
+    ("GPL-2.0-only", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),  # GPL-2
+    ("GPL-2.0-only", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),  # GPL-2 to the end of its terms, that line included
+    ("GPL-2.0-only", "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017"),  # GPL-2 to the end of its terms
+    ("GPL-3.0-only", "f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f"),  # GPL-3
+    ("GPL-3.0-only", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b"),  # GPL-3 to the end of its terms, that line included
+    ("GPL-3.0-only", "3d4de016a08e1d98b27dec755cdf4530b92807d97aaa185b32e12d52942b1943"),  # GPL-3 to the end of its terms
+    ("LGPL-2.0-only", "e2c319279ddf282349927826fd110bdb5b471edc3a726a66fe333c8184a4b135"),  # LGPL-2
+    ("LGPL-2.0-only", "a07313094d4e63b099417491ebc80c933bf85c36d5afddbf13be9a11457c8513"),  # LGPL-2 to the end of its terms, that line included
+    ("LGPL-2.0-only", "a745f6517e6dd821b7e0352067dcf8f32789a02694b661bfad965280370e9b1a"),  # LGPL-2 to the end of its terms
+    ("LGPL-2.1-only", "13cd11e9ccd3aae212d64d9b0f62b3a67f21019c6a65212e582b2cbbeb91cb70"),  # LGPL-2.1
+    ("LGPL-2.1-only", "bfe8e5dc6cef43d0c4777d9c1891f596159cda682ef40545ad2105f66b9746f1"),  # LGPL-2.1 to the end of its terms, that line included
+    ("LGPL-2.1-only", "4656c6936fdab5334aa4c4800c6a7881ffce24f3abb1f578c24da0bbb2735d0a"),  # LGPL-2.1 to the end of its terms
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),  # LGPL-3
+    ("MPL-1.1", "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1"),  # MPL-1.1
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),  # MPL-2.0
+)
 #: Every canonical text above holds one of these, so a text without them cannot be known; a test checks it.
 MARKER = "licens|licenc|permission|redistribution"
 
@@ -82,10 +110,11 @@ def canonical(text: Column) -> Column:
     return F.trim(reduce(lambda c, p: F.regexp_replace(c, f" {p[0]}(?=s? )", f" {p[1]}"), EQUIVALENT, words))
 
 
-def known_digests(spark, known=KNOWN) -> DataFrame:
+def known_digests(spark, known=KNOWN, full=FULL) -> DataFrame:
     """(digest, license_id) of the registry; one digest names one licence."""
     rows = spark.createDataFrame([(i, t) for i, t in known], "license_id string, known_text string")
-    return rows.select(F.sha2(canonical(F.col("known_text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    digests = rows.select(F.sha2(canonical(F.col("known_text")), 256).alias("digest"), "license_id")
+    return digests.unionByName(spark.createDataFrame(list(full), "license_id string, digest string")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licences(docs: DataFrame, known=KNOWN) -> DataFrame:

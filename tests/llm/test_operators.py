@@ -8,6 +8,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -303,6 +304,17 @@ def test_licences_against_sql_and_edges(spark):
     assert "Python" not in licences.scan_licences(d)._jdf.queryExecution().toString()
 
 
+def test_whole_long_licences_are_known(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    paths = [Path("/usr/share/common-licenses", n) for n in names]
+    if not all(p.exists() for p in paths):
+        pytest.skip("no licence texts on this machine")
+    texts = [p.read_text() for p in paths]
+    texts += [texts[0][: texts[0].index("END OF TERMS")], texts[2].replace("\n", "  \r\n"), texts[0].replace("perpetual", "brief")]
+    got = {r.doc_id: r.license_id for r in licences.scan_licences(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [*names.values(), "Apache-2.0", "GPL-3.0-only", None]
+
+
 def test_every_known_text_holds_a_marker():
     assert all(re.search(licences.MARKER, t, re.I) for _, t in licences.KNOWN)
 
