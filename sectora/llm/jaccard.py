@@ -1,20 +1,25 @@
-"""Exact n-gram Jaccard join by vertical partitioning.
-
-A document is its set of word n-grams, as 64-bit hashes; the hash value is the
-global n-gram order.  Two sets of sizes m <= n with 100 * overlap >= T * union
-differ in at most D = floor((m + n) * (100 - T) / (100 + T)) n-grams.  The order
-is cut into K = D + 1 fragments, so one fragment at least holds the same n-grams
-in both: sets that share the digest of a non-empty fragment are the candidates,
-and no pair is lost.  A set so sparse that its differences could fill all its
-non-empty fragments also offers its prefix n-grams.  Candidates are verified
-fragment by fragment: partial overlaps are counted separately and summed per pair.
-
-Equal sets form one node from the start.  N-grams that only one of the involved
-sets holds cap what that set can share: sets whose cap is too low for any link
-drop out, and a pair is compared only if both caps allow it.  The rest first form
-stars around the set of the highest cap, and only fragments whose sets are still
-in different components are compared further, so groups of copies are never
-expanded into all pairs.
+"""N-gram Jaccard join by vertical partitioning.
+
+A document is its set of word n-grams, as 64-bit hashes.  Two sets of sizes m <= n
+with 100 * overlap >= T * union differ in at most D = floor((m + n) * (100 - T) /
+(100 + T)) n-grams.  A first cut of the hash range into D + 1 fragments finds the
+sets that can link at all: one fragment at least holds the same n-grams in both
+sets of a linking pair, so sets that share no digest of a non-empty fragment go.
+A set so sparse that its differences could fill all its non-empty fragments also
+offers its prefix n-grams.
+
+Among the sets left the global n-gram order is: class of document frequency (its
+binary length), then hash, rare n-grams first.  A pair can only link if it shares
+an n-gram early enough in this order in both sets for the rest to reach the overlap
+it needs; such n-grams are the candidates' witnesses.  Candidates are verified by
+vertical partitions: the order is cut into fragments, every set into one segment
+per fragment, partial overlaps are counted per fragment and summed per pair.
+
+Equal sets form one node from the start.  Each witness first compares its sets with
+the one that shares most of its n-grams only; then witnesses whose sets are still in
+different components are compared across components.  A set far from a group's
+centre has rare n-grams ahead of those that the group shares, so groups of copies
+are never expanded into all pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,7 +36,6 @@ from .common import connected_components, remove, written
 
 WORDS = 4
 PERCENT = 85
-SLICES = 8  # vertical fragments of the verification
 BAND = 1.5  # ratio of the size bands that share one cutting
 CHUNK = 400_000  # bytes of text hashed at a time
 _P = 0x9E3779B97F4A7C15 | 1
@@ -146,19 +150,16 @@ _EDGES = band_edges(1 << 40)
 
 
 def signatures(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Digests of the non-empty fragments of a set, for its own size band and, where a partner may lie there, the next."""
+    """Digests of the non-empty fragments of a set, for its own size band and every band where a larger partner may lie."""
     n = len(grams)
     band = int(np.searchsorted(_EDGES, n, "right")) - 1
     out = []
-    mixed = None
-    for b in (band, band + 1):
-        if b > band and n * 100 // percent < _EDGES[b]:
-            break
+    mixed = mix(grams)
+    for b in range(band, int(np.searchsorted(_EDGES, n * 100 // percent, "right"))):
         most = _EDGES[b + 1] - 1
         k = 2 * most * (100 - percent) // (100 + percent) + 1
         place = ((grams >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        mixed = mix(grams) if mixed is None else mixed
         out.append(mix(np.add.reduceat(mixed, first) ^ mix(place[first] + np.uint64(b << 40))))
         partner = min(most, n * 100 // percent)
         if len(first) <= (n + partner) * (100 - percent) // (100 + percent):
@@ -233,151 +234,176 @@ def _involved(docs: DataFrame, words: int, percent: int) -> DataFrame:
         yield from flush()
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, members, done = [], [], []
+        # rows come by key; of a key that goes on in the next batch one member is carried over
+        last_key, last_member = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
             k, x, y = (c.to_numpy() for c in b.columns)
             direct = x != y
-            done.append(np.stack([x[direct], y[direct]], 1))
-            keys.append(k[~direct])
-            members.append(x[~direct])
-        if keys:
-            key, member, low = _runs(np.concatenate(keys), np.concatenate(members))
-            far = member != low
-            done.append(np.stack([low[far], member[far]], 1))
+            done = [x[direct], y[direct]]
+            if not direct.all():
+                key, member, low = _runs(np.concatenate([last_key, k[~direct]]), np.concatenate([last_member, x[~direct]]))
+                far = member != low
+                done += [low[far], member[far]]
+                last_key, last_member = key[-1:], member[-1:]
             yield _batch(["set_id"], np.unique(np.concatenate(done)))
 
     sent = docs.select("text").mapInArrow(emit, "key long, a long, b long")
-    return sent.repartition("key").mapInArrow(reduce, "set_id long").distinct()
+    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(reduce, "set_id long").distinct()
 
 
 def _bodies(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(set_id, n, parts): the n-grams of the named documents, cut into SLICES vertical fragments."""
+    """(set_id, n, grams): the n-grams of the named documents."""
     chosen = docs.select("doc_id", "text").join(ids.select("doc_id"), "doc_id", "left_semi")
-    edges = [np.uint64(i * (1 << 64) // SLICES) for i in range(1, SLICES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 200):
                 sets = [g for g in ngram_sets(b.column(0).slice(s, 200).to_pylist(), words) if len(g)]
-                parts = [p.view(np.int64) for g in sets for p in np.split(g, np.searchsorted(g, edges))]
-                inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-                outer = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SLICES, pa.int32()), inner)
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), outer], names=["set_id", "n", "parts"])
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), lists], names=["set_id", "n", "grams"])
 
-    return chosen.select("text").mapInArrow(run, "set_id long, n long, parts array<array<bigint>>")
+    return chosen.select("text").mapInArrow(run, "set_id long, n long, grams array<bigint>")
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link: partial overlaps counted per vertical fragment and summed per pair."""
-    left = bodies.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-    right = bodies.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-    partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda t, x: t + x).cast("long").alias("o"))
-    return met.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
+def _ordered(bodies: DataFrame, percent: int) -> DataFrame:
+    """(set_id, n, cap, g): the n-grams that another involved set holds too, in the global order (class, hash).
 
+    ``cap`` is their number: the others come first in the order, can be shared
+    with no set, and sets with too many of them for any link are left out.
+    """
+    grams = bodies.select("set_id", "n", F.explode("grams").alias("gram"))
+    known = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram", F.length(F.bin("c")).alias("k"))
+    sets = grams.join(known, "gram").groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("k", "gram"))).alias("g"))
+    return sets.select("set_id", "n", F.size("g").cast("long").alias("cap"), "g").where(F.col("cap") * 100 >= F.col("n") * percent)
 
-def _capped(bodies: DataFrame, percent: int) -> DataFrame:
-    """(set_id, n, cap): how many n-grams of a set another involved set holds too; only sets whose cap allows a link."""
-    grams = bodies.select("set_id", F.explode(F.flatten("parts")).alias("gram"))
-    own = grams.groupBy("gram").agg(F.count("*").alias("c"), F.min("set_id").alias("set_id")).where("c = 1").groupBy("set_id").agg(F.count("*").alias("own"))
-    caps = bodies.select("set_id", "n").join(own, "set_id", "left").select("set_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("cap"))
-    return caps.where(F.col("cap") * 100 >= F.col("n") * percent)
 
+def _segments(ordered: DataFrame) -> DataFrame:
+    """(set_id, fragment, grams): every set cut at the same places of the global order (each class in quarters of its hash range)."""
+    fragment = lambda x: x["k"] * 4 + F.shiftright(x["gram"], 62).cast("int")
+    cut = ordered.select("set_id", "g", F.explode(F.array_distinct(F.transform("g", fragment))).alias("fragment"))
+    return cut.select("set_id", "fragment", F.transform(F.filter("g", lambda x: fragment(x) == F.col("fragment")), lambda x: x["gram"]).alias("grams"))
 
-_INFO = ("set_id", "n", "cap", *(f"k{i}" for i in range(4)))
 
+def _needed(m, n, percent: int):
+    """The overlap that sets of m and n n-grams need to link."""
+    return F.floor(((m + n) * percent + 99 + percent) / (100 + percent)).cast("long")
 
-def sketch(grams: np.ndarray) -> list[int]:
-    """256 parities, one for the n-grams of each residue: two sketches differ in no more bits than their sets in n-grams."""
-    odd = (np.bincount((grams & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).tolist()
 
+_INFO = ("set_id", "n", "cap", "pos")
 
-def _named(prefix: str) -> list:
-    return [F.col(c).alias(prefix + c) for c in _INFO]
 
+def _witnesses(ordered: DataFrame, percent: int) -> DataFrame:
+    """(gram, set_id, n, cap, pos): the n-grams early enough in a set for a link with a set of its witness, with their place in the order."""
+    least = F.floor((F.col("n") * percent + 99) / 100).cast("int")
+    head = F.slice("g", 1, F.col("cap").cast("int") - least + 1)
+    rows = ordered.select("set_id", "n", "cap", F.posexplode(F.transform(head, lambda x: x["gram"])).alias("i", "gram"))
+    rows = written(rows.select("gram", "set_id", "n", "cap", (F.col("n") - F.col("cap") + F.col("i")).alias("pos")), "jaccard-prefix")
+    met = rows.groupBy("gram").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.min("n").alias("smallest")).where("lo < hi").select("gram", "smallest")
+    partner = F.greatest("smallest", F.floor((F.col("n") * percent + 99) / 100).cast("long"))
+    out = written(rows.join(met, "gram").where(F.col("pos") <= F.col("n") - _needed(F.col("n"), partner, percent)).select("gram", *_INFO), "jaccard-witness")
+    remove(rows.sparkSession, rows.scratch_path)
+    return out
 
-def _possible(percent: int, x: str = "x_", y: str = "y_"):
-    """Whether sizes, caps and sketches of two sets allow a link."""
-    n1, n2, cap1, cap2 = x + "n", y + "n", x + "cap", y + "cap"
-    bits = sum((F.bit_count(F.col(f"{x}k{i}").bitwiseXOR(F.col(f"{y}k{i}"))) for i in range(4)), F.lit(0))
-    apart = bits * (100 + percent) <= (F.col(n1) + F.col(n2)) * (100 - percent)
-    return _fitting(n1, cap1, n2, cap2, percent) & apart
 
+def _named(prefix: str) -> list:
+    return [F.col(c).alias(prefix + c) for c in _INFO]
 
-def _fitting(n1: str, cap1: str, n2: str, cap2: str, percent: int):
-    sizes = (F.col(n1) * 100 >= F.col(n2) * percent) & (F.col(n2) * 100 >= F.col(n1) * percent)
-    return sizes & (F.least(cap1, cap2) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent)
 
+def _possible(percent: int):
+    """Whether sizes, caps and the places of the witness in two sets allow a link."""
+    x, y = F.col("x_n"), F.col("y_n")
+    need = _needed(x, y, percent)
+    sizes = (x * 100 >= y * percent) & (y * 100 >= x * percent)
+    return sizes & (F.least("x_cap", "y_cap") >= need) & (F.col("x_pos") <= x - need) & (F.col("y_pos") <= y - need)
 
-def _signature_rows(bodies: DataFrame, caps: DataFrame, percent: int) -> DataFrame:
-    """(sig, set_id, n, cap, k0 .. k3) of the sets in ``caps``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for me, n, cap, grams in zip(*b.columns, strict=True):
-                g = grams.values.to_numpy().view(np.uint64)
-                sig = signatures(g, percent)
-                yield _batch(["sig", *_INFO], sig, *(np.full(len(sig), x, np.int64) for x in (me.as_py(), n.as_py(), cap.as_py(), *sketch(g))))
+def _pairs(met: DataFrame) -> DataFrame:
+    """(a, b, na, nb): the pairs of ``met``, smaller id first, with their sizes."""
+    first = F.col("x_set_id") < F.col("y_set_id")
+    ends = [F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")]
+    return met.select(*ends, F.when(first, F.col("x_n")).otherwise(F.col("y_n")).alias("na"), F.when(first, F.col("y_n")).otherwise(F.col("x_n")).alias("nb")).distinct()
 
-    rows = bodies.select("set_id", F.flatten("parts").alias("grams")).join(caps, "set_id")
-    return rows.select("set_id", "n", "cap", "grams").mapInArrow(run, "sig long, " + ", ".join(f"{c} long" for c in _INFO))
 
-
-def _label(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """``rows`` (sig and the columns of a set) with the component of each set, only for fragments that touch two components or more."""
-    named = written(rows.join(parts, rows.set_id == parts.node, "left").select("sig", *_INFO, F.coalesce("component", "set_id").alias("c")), "jaccard-sig")
-    torn = written(named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", "lo"), "jaccard-torn")
-    out = written(named.join(torn, "sig"), "jaccard-open")
-    remove(rows.sparkSession, named.scratch_path, torn.scratch_path)
+def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link: partial overlaps counted per vertical fragment and summed per pair."""
+    left = segments.select(F.col("set_id").alias("a"), "fragment", F.col("grams").alias("ga"))
+    right = segments.select(F.col("set_id").alias("b"), "fragment", F.col("grams").alias("gb"))
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
+    whole = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
+    return whole.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
+
+
+def _torn(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows`` with the component c of each set, only for witnesses that touch two components or more."""
+    named = written(rows.join(parts, rows.set_id == parts.node, "left").select("gram", *_INFO, F.coalesce("component", "set_id").alias("c")), "jaccard-named")
+    torn = named.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("gram")
+    out = written(named.join(torn, "gram", "left_semi"), "jaccard-torn")
+    remove(rows.sparkSession, named.scratch_path)
     return out
 
 
+def _components(ordered: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the sets that link with another one."""
+    segments = written(_segments(ordered), "jaccard-segments")
+    rows = _witnesses(ordered, percent)
+    best = F.max(F.struct((F.col("y_cap") / F.col("y_n")).alias("share"), *(f"y_{c}" for c in _INFO))).alias("h")
+    heads = rows.select("gram", *_named("y_")).groupBy("gram").agg(best, F.count("*").alias("m")).where("m > 1").select("gram", *(f"h.y_{c}" for c in _INFO))
+    near = rows.select("gram", *_named("x_")).join(written(heads, "jaccard-heads"), "gram").where((F.col("x_set_id") != F.col("y_set_id")) & _possible(percent))
+    parts = written(connected_components(_verified(written(_pairs(near), "jaccard-pairs"), segments, percent)), "jaccard-parts")
+    rows = _torn(rows, parts)
+    x = rows.select("gram", F.col("c").alias("cx"), *_named("x_"))
+    y = rows.select("gram", F.col("c").alias("cy"), *_named("y_"))
+    across = written(_pairs(x.join(y, "gram").where((F.col("cx") < F.col("cy")) & _possible(percent))), "jaccard-across")
+    more = written(_verified(across, segments, percent), "jaccard-links")
+    if not more.limit(1).count():
+        return parts
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    joints = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = connected_components(joints).toDF("old", "new")
+    named = parts.join(moved, parts.component == moved.old, "left").select("node", F.coalesce("new", "component").alias("component"))
+    return named.union(moved.join(parts, moved.old == parts.node, "left_anti").select("old", "new"))
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row of ``docs`` (doc_id, text).
 
     ``n_shingles`` is the number of distinct word n-grams; ``component_id`` the
-    smallest doc_id reachable over links (100 * intersection >= percent * union).
-    Null, empty and blank texts have no n-gram and link with nothing: their
-    component is their own id, as it is for a null doc_id.  Repeated rows are
-    copies of each other.  Other columns of ``docs`` are ignored.
+    smallest doc_id reachable over links (100 * intersection >= percent * union,
+    ``percent`` a whole number from 1 to 100, exact for each).  Null, empty and
+    blank texts have no n-gram and link with nothing: their component is their own
+    id, as it is for a null doc_id.  Repeated rows are copies of each other.
+    Other columns of ``docs`` are ignored.
     """
+    if percent != int(percent) or not 1 <= percent <= 100:
+        raise ValueError("percent must be a whole number from 1 to 100")
     docs = docs.select("doc_id", "text")
     sets = written(_set_rows(docs, words), "jaccard-sets")
-    real = sets.where("n > 0 AND doc_id IS NOT NULL")
-    first = written(real.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "jaccard-first")
+    first = written(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "jaccard-first")
     nodes = written(_involved(docs.where("doc_id IS NOT NULL"), words, percent), "jaccard-nodes")
     ids = written(first.join(nodes, "set_id").select("doc_id"), "jaccard-ids")
     bodies = written(_bodies(docs, ids, words).dropDuplicates(["set_id"]), "jaccard-bodies")
-    caps = written(_capped(bodies, percent), "jaccard-caps")
-    rows = written(_signature_rows(bodies, caps, percent), "jaccard-sig")
-    best = F.max(F.struct((F.col("y_cap") / F.col("y_n")).alias("share"), *(f"y_{c}" for c in _INFO))).alias("h")
-    found = [f"h.y_{c}" for c in _INFO]
-    pair = [F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")]
-    heads = rows.select("sig", *_named("y_")).groupBy("sig").agg(best, F.min("y_set_id").alias("lo"), F.max("y_set_id").alias("hi")).where("lo < hi").select(F.col("sig").alias("s"), *found)
-    heads = written(heads, "jaccard-heads")
-    met = rows.select("sig", *_named("x_")).join(heads, (F.col("sig") == F.col("s")) & (F.col("x_set_id") != F.col("y_set_id")) & _possible(percent))
-    tried = written(met.select(*pair).distinct(), "jaccard-pairs")
-    links = written(_verified(tried, bodies, percent), "jaccard-links")
-    parts = connected_components(links)
-    for whole in (False, True):
-        still = _label(rows, parts)
-        x = still.select("sig", "lo", F.col("c").alias("cx"), *_named("x_"))
-        y = still.select(F.col("sig").alias("s"), F.col("c").alias("cy"), *_named("y_"))
-        if whole:
-            near = F.col("cx") < F.col("cy")
-        else:  # first only the best set of each component and fragment against the sets of the others
-            y = written(y.groupBy("s", "cy").agg(best).select("s", "cy", *found), "jaccard-heads")
-            near = (F.col("cx") != F.col("cy")) & ((F.col("cx") == F.col("lo")) | (F.col("cy") == F.col("lo")))
-        fresh = x.join(y, (F.col("sig") == F.col("s")) & near & _possible(percent)).select(*pair).distinct()
-        fresh = written(fresh.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        tried = tried.union(fresh)
-        more = written(_verified(fresh, bodies, percent), "jaccard-links")
-        if more.limit(1).count():
-            links = links.union(more)
-            parts = connected_components(links)
-    labels = first.join(parts, first.set_id == parts.node, "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("c"))
-    lowest = written(labels.groupBy("c").agg(F.min("doc_id").alias("component_id")), "jaccard-lowest")
-    named = written(labels.join(lowest, "c").select("set_id", "component_id"), "jaccard-labels")
+    ordered = written(_ordered(bodies, percent), "jaccard-ordered")
+    remove(docs.sparkSession, bodies.scratch_path, nodes.scratch_path, ids.scratch_path)
+    parts = _components(ordered, percent)
+    labels = written(first.join(parts, first.set_id == parts.node, "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("c")), "jaccard-labels")
+    lowest = labels.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    named = written(labels.join(lowest, "c").select("set_id", "component_id"), "jaccard-names")
     out = sets.withColumn("k", F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.col("set_id")))
     return out.join(named, out.k == named.set_id, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def oracle_sql(words: int = WORDS, percent: int = PERCENT) -> str:
+    """The same rows of ``documents`` in DuckDB's SQL, over all pairs that share an n-gram: for small tables with unique doc_ids."""
+    return f"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + {words - 1}], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - {words - 2}))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= {percent} * (x.n + y.n - o)),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+low AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low.other, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.doc_id = w.doc_id"""

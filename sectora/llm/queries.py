@@ -14,6 +14,7 @@ from .decontaminate import decontamination_report
 from .embeddings import cosine_components
 from .html_extract import extract_main_text
 from .jaccard import jaccard_components
+from .jaccard import oracle_sql as jaccard_sql
 from .language import language_report
 from .licences import oracle_sql as licence_sql
 from .licences import scan_licences
@@ -72,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_licence_digests": licence_sql()}
+    return {"op7_licence_digests": licence_sql(), "op8_ngram_jaccard": jaccard_sql()}

@@ -363,10 +363,42 @@ def test_jaccard_components_equal_brute_force(spark, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("percent", [10, 40, 55, 67, 100])
+def test_jaccard_of_nested_sets_at_other_percentages(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for _ in range(12):
+        base = words(rng, 160)
+        for share in rng.sample([0.05, 0.12, 0.2, 0.35, 0.42, 0.5, 0.57, 0.66, 0.7, 0.8, 0.9, 1.0], 5):
+            rows.append((len(rows), " ".join(base[: int(share * len(base))])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, rows), 3, percent).collect()}
+    assert got == brute_components(rows, 3, percent)
+    with pytest.raises(ValueError):
+        jaccard.jaccard_components(documents(spark, rows), 3, 101)
+
+
+def test_jaccard_of_one_large_group_of_near_copies(spark):
+    rng = random.Random(3)
+    base = words(rng, 70)
+    rows = []
+    for i in range(500):  # edits from a small vocabulary meet again in other copies
+        w = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, rows)).collect()}
+    assert got == brute_components(rows, 4, 85)
+    assert len({c for _, c in got.values()}) > 20
+
+
+def test_jaccard_equals_sql(spark):
+    assert oracle.differences(jaccard.jaccard_components(common.table(spark, SF, "documents")), oracle.connect(SF), jaccard.oracle_sql()) == []
+
+
 def test_jaccard_edges(spark):
-    rows = [(5, "a b c d e"), (5, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (None, None)]
-    got = sorted((r.doc_id is None, r.doc_id, r.component_id, r.n_shingles) for r in jaccard.jaccard_components(documents(spark, rows)).collect() if r.doc_id is not None)
-    assert [g[1:] for g in got] == [(3, 3, 2), (5, 3, 2), (5, 3, 2)]
+    rows = [(5, "a b c d e"), (5, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (None, "a b c d e"), (None, None), (7, None)]
+    got = [(r.doc_id, r.component_id, r.n_shingles) for r in jaccard.jaccard_components(documents(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(3, 3, 2), (5, 3, 2), (5, 3, 2), (7, 7, 0), (None, None, 0), (None, None, 2), (None, None, 2)], key=repr)
     assert jaccard.jaccard_components(documents(spark, rows).limit(0)).count() == 0
 
 
