@@ -10,6 +10,7 @@ loses nothing of what the page's own best container leads to.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ HOLDS = 0.8  # share of a container's text that one child must hold to take its
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|canvas|math|select|textarea|title|head)\b[^>]*+>(?:(?!</\1\b).)*+(?:</\1\b[^>]*+>|\Z)"
+    r"|<(script|style|textarea|title|iframe|xmp|noembed|noframes)\b[^>]*+>(?:(?!</\1\b).)*+(?:</\1\b[^>]*+>|\Z)"  # raw text ends only at its end tag
     r"|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?:[!?][^>]*+|/?[a-zA-Z][^>]*+)(?:>|\Z)",
     re.S | re.I,
@@ -35,17 +36,27 @@ _ATTR = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![
 #: Element names.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_FORMULA = frozenset("math menclose mlabeledtr mtable mtd mtr merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 _CONTAINER = frozenset("html body main article section div td center content table tbody tr".split())
-_BOILER_TAG = frozenset("nav footer aside form button dialog menu fieldset address".split())
+_BOILER_TAG = frozenset("nav footer aside form button dialog menu fieldset".split())
+_UNSEEN = frozenset("noscript template svg object canvas select datalist annotation annotation-xml".split())  # what they hold is not shown
+_FOREIGN = frozenset(["svg", "math"])
+_IN_LINE = _INLINE | _FORMULA | _UNSEEN
+_INTEGRATION = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())  # HTML may stand in these
+_ARTICLE = frozenset(["article", "main"])
+LONG_PATH = 1000  # longer paths are named by their digest
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _CLOSES = {  # an opening tag ends these open elements first
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
 _SCOPE = frozenset("ul ol dl table div section article main body td".split())
+#: Opening tags of HTML that end an open svg or math element.
+_BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_OPTION = frozenset("option optgroup hr legend".split())  # what a select may hold; another block ends it
 _BOILER_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adslot|adsbygoogle|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|notifications?|alert|newsletter|subscri(?:be|ption)"
-    r"|side-?bar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|masthead|site-?header|page-?header|top-?bar|header|toolbar|comments?|comment-?list|disqus|repl(?:y|ies)|respond"
+    r"|side-?bar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|masthead|site-?header|page-?header|top-?bar|(?<!article[_-])(?<!post[_-])(?<!entry[_-])(?<!story[_-])(?<!content[_-])(?<!section[_-])header|toolbar|comments?|comment-?list|disqus|repl(?:y|ies)|respond"
     r"|shar(?:e|ing)|social|related|recommend(?:ed|ations?)|popup|pop-up|modal|overlay|paginat(?:ion|or)|pager|widgets?|log-?in|sign-?up|search|copyright|skip-?link|tag-?(?:list|cloud)|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
@@ -61,18 +72,11 @@ class Node:
     path: str
     order: int
     parent: Node | None
-    own: int = 0  # characters of visible text outside links, directly or in inline and text elements
-    links: int = 0  # characters of link text
+    article: bool = False  # a main or article element, or inside one
+    sum: int = 0  # characters of visible text outside links, in the end with all containers below
+    link_sum: int = 0  # characters of link text
     children: list[Node] = field(default_factory=list)
 
-    def total(self) -> tuple[int, int]:
-        own, links = self.own, self.links
-        for c in self.children:
-            a, b = c.total()
-            own, links = own + a, links + b
-        self.sum, self.link_sum = own, links
-        return own, links
-
 
 class Page:
     """One pass over the markup: blocks of text, each with the container that holds it."""
@@ -82,13 +86,18 @@ class Page:
         self.root = Node("", 0, None)
         self.nodes = [self.root]
         self._read(source)
-        self.root.total()
+        for n in reversed(self.nodes):  # children come after their parents
+            if n.parent is not None:
+                n.parent.sum += n.sum
+                n.parent.link_sum += n.link_sum
 
     def _read(self, source: str) -> None:
         # open elements: tag, container, inside boilerplate, inside a link, inside a page or article header
         stack: list[tuple[str, Node, bool, bool, bool]] = [("", self.root, False, False, False)]
         pieces: list[str] = []
         weight = [0, 0]
+        opened: dict[str, int] = {}  # open elements by tag
+        special = [0, 0]  # open elements of other content models, and those of them that are not shown
         at = 0
 
         def flush() -> None:
@@ -97,22 +106,44 @@ class Page:
                 node = stack[-1][1]
                 if text:
                     self.blocks.append((node, text))
-                    node.own += weight[0]
-                    node.links += weight[1]
+                    node.sum += weight[0]
+                    node.link_sum += weight[1]
                 pieces.clear()
                 weight[0] = weight[1] = 0
 
         def text(s: str) -> None:
-            tag, _, boiler, link, head = stack[-1]
-            if s and not boiler and not (head and not any(e[0] in _HEADING for e in stack[-4:])):
+            _, _, boiler, link, head = stack[-1]
+            if s and not boiler and not head:
                 pieces.append(s)
                 weight[link] += len(s)
 
+        def push(entry: tuple[str, Node, bool, bool, bool]) -> None:
+            stack.append(entry)
+            tag = entry[0]
+            opened[tag] = opened.get(tag, 0) + 1
+            special[0] += tag in _UNSEEN or tag in _FOREIGN
+            special[1] += tag in _UNSEEN
+
         def close(k: int) -> None:
-            if any(e[0] not in _INLINE for e in stack[k:]):
+            if any(e[0] not in _IN_LINE for e in stack[k:]):
                 flush()
+            for e in stack[k:]:
+                opened[e[0]] -= 1
+                special[0] -= e[0] in _UNSEEN or e[0] in _FOREIGN
+                special[1] -= e[0] in _UNSEEN
             del stack[k:]
 
+        def leave(tag: str) -> None:
+            """End an open svg, math or select that cannot hold ``tag``."""
+            for i in range(len(stack) - 1, 0, -1):
+                t = stack[i][0]
+                if t in _INTEGRATION:
+                    return
+                if t in _FOREIGN or t == "select":
+                    if tag in _BREAKOUT if t in _FOREIGN else tag in ("select", "input") or not (tag in _OPTION or tag in _IN_LINE):
+                        close(i)
+                    return
+
         for m in _TOKEN.finditer(source):
             if m.start() > at:
                 text(source[at : m.start()])
@@ -122,12 +153,20 @@ class Page:
                 continue
             tag = name.lower()
             if m[2]:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0) if opened.get(tag) else 0
                 if k:
                     close(k)
                 elif tag == "p":
                     flush()
                 continue
+            if special[0]:
+                leave(tag)
+                if special[1] or (m[4] or "").endswith("/"):  # nothing below is shown, or a formula's empty element
+                    if tag not in _VOID and not (m[4] or "").endswith("/"):
+                        push((tag, *stack[-1][1:]))
+                    continue
+            if tag in _FOREIGN and (m[4] or "").endswith("/"):
+                continue
             if tag == "br":
                 if pieces:
                     pieces.append(" ")
@@ -136,7 +175,7 @@ class Page:
                 if tag == "hr":
                     flush()
                 continue
-            inline = tag in _INLINE
+            inline = tag in _IN_LINE
             if not inline:
                 ends = _CLOSES.get(tag)
                 for i in range(len(stack) - 1, 0, -1):
@@ -151,6 +190,7 @@ class Page:
             _, node, boiler, link, head = stack[-1]
             attrs = m[4]
             names = ""
+            boiler = boiler or tag in _UNSEEN
             if attrs and not boiler and (not inline or "hidden" in attrs or "display" in attrs):
                 found = {}
                 for a in _ATTR.finditer(attrs):
@@ -159,21 +199,31 @@ class Page:
                 marks = f"{names} {found.get('id', '')}"
                 boiler = (
                     tag in _BOILER_TAG or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in _BOILER_ROLE
-                    or bool(_HIDDEN.search(found.get("style", ""))) or (tag not in ("html", "body", "main", "article") and bool(_BOILER_NAME.search(marks)))
-                    or (tag == "article" and bool(re.search(r"\b(?:comment|reply)", marks, re.I)))
+                    or bool(_HIDDEN.search(found.get("style", ""))) or (tag == "article" and bool(re.search(r"\b(?:comment|reply)", marks, re.I)))
                 )
+                if tag not in ("html", "body", "main", "article") and (hits := _BOILER_NAME.findall(marks)):
+                    if node.article and all(h.strip(" _-\t\n").lower().endswith("header") for h in hits):
+                        head = True  # an article's own header: its headings stay
+                    else:
+                        boiler = True
             elif not boiler:
                 boiler = tag in _BOILER_TAG
             if tag == "header" and not boiler:
-                head = True
-                boiler = not any(e[0] in ("article", "main") for e in stack)
+                head, boiler = True, not node.article
+            elif tag == "address" and not node.article:
+                boiler = True
+            elif tag in _HEADING:
+                head = False
             if tag in _CONTAINER and not boiler:
                 label = tag + "".join("." + _DIGIT.sub("#", c) for c in sorted(names.split()))
-                child = Node(f"{node.path}>{label}" if node.path else label, len(self.nodes), node)
+                path = f"{node.path}>{label}" if node.path else label
+                if len(path) > LONG_PATH:
+                    path = "~" + hashlib.blake2b(path.encode("utf-8", "replace"), digest_size=16).hexdigest()
+                child = Node(path, len(self.nodes), node, node.article or tag in _ARTICLE)
                 node.children.append(child)
                 self.nodes.append(child)
                 node = child
-            stack.append((tag, node, boiler, link or tag == "a", head))
+            push((tag, node, boiler, link or tag == "a", head))
         if at < len(source):
             text(source[at:])
         while len(stack) > 1:
@@ -192,32 +242,19 @@ class Page:
 
     def region(self, located: list[Node]) -> list[Node]:
         """What a located article belongs to: the outermost main and article elements if it is inside one, else the page."""
-        outer: list[Node] = []
-        inside: set[int] = set()
-        for n in self.nodes:  # parents come first
-            if n.parent is not None and id(n.parent) in inside:
-                inside.add(id(n))
-            elif n.path.rsplit(">", 1)[-1].split(".", 1)[0] in ("main", "article"):
-                inside.add(id(n))
-                outer.append(n)
-        return outer if located and all(id(n) in inside for n in located) else [self.root]
+        outer = [n for n in self.nodes if n.article and not (n.parent and n.parent.article)]
+        return outer if located and all(n.article for n in located) else [self.root]
 
     def _kept(self, chosen: list[Node]) -> list[bool]:
-        """Of every block whether it is below the chosen containers and not in a list or block that is mostly links."""
-        inside: dict[int, bool] = {id(n): True for n in chosen}
-
-        def within(n: Node | None) -> bool:
-            if n is None:
-                return False
-            key = id(n)
-            if key not in inside:
-                inside[key] = within(n.parent)
-            return inside[key]
-
-        return [within(n) and not (n.link_sum > 3 * n.sum and n.link_sum) for n, _ in self.blocks]
+        """Of every block whether it is below the chosen containers and not, outside articles, in a container that is mostly links."""
+        inside = {id(n) for n in chosen}
+        for n in self.nodes:  # parents come first
+            if id(n.parent) in inside:
+                inside.add(id(n))
+        return [id(n) in inside and (n.article or not n.link_sum > 3 * n.sum) for n, _ in self.blocks]
 
     def text_of(self, chosen: list[Node]) -> str:
-        """Blocks below the chosen containers in page order, without lists and blocks that are mostly links."""
+        """The kept blocks below the chosen containers in page order."""
         return " ".join(t for (_, t), k in zip(self.blocks, self._kept(chosen), strict=True) if k)
 
     def vote(self) -> tuple[str, int]:
