@@ -21,7 +21,7 @@ EQUIVALENT = (
     ("maximise", "maximize"), ("modelled", "modeled"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"),
     ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("sub license", "sublicense"), ("sublicence", "sublicense"),
     ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("non infringement", "noninfringement"),
-    ("per cent", "percent"), ("copyright owner", "copyright holder"),
+    ("per cent", "percent"), ("copy right", "copyright"), ("copyright owner", "copyright holder"),
 )
 
 _WARRANTY = (
@@ -58,6 +58,10 @@ KNOWN = (
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_WARRANTY),
     ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
     ("BSD-3-Clause", _BSD_HEAD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_TAIL),
+    ("MIT-0", "MIT No Attribution\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.\n\n" + _WARRANTY),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -73,39 +77,47 @@ KNOWN = (
 )
 #: SHA-256 of the canonical form of whole licences, with and without what follows their terms; each text holds a MARKER.
 FULL = (
-    ("Apache-2.0", "0d5838e6f6e5a374e58d608af5c01bc6a67cf18552dd7b346e5aef652b808ee9"),  # Apache-2.0
-    ("Apache-2.0", "0933e9fdf25f8a4aced10e10246650350123e13b939182f69b5ec6730ce2d793"),  # Apache-2.0 to the end of its terms, that line included
-    ("Apache-2.0", "a657010cc8660623635462386107381af70d2c7ec43ab36e27484c72cbb3b28f"),  # Apache-2.0 to the end of its terms
-    ("Artistic-1.0-Perl", "f273930184a9b8de03336e9ae5d74bef291165524044f55455ee5117f494811a"),  # Artistic
-    ("CC0-1.0", "8cedc79bc218a56208c67b3e5e20647251232cf41eb2a191e67cb40be495ffb9"),  # CC0-1.0
-    ("GFDL-1.2-only", "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142"),  # GFDL-1.2
-    ("GFDL-1.3-only", "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3"),  # GFDL-1.3
+    ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),  # Apache-2.0
+    ("Apache-2.0", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"),  # Apache-2.0 to the end of its terms, that line included
+    ("Apache-2.0", "824065d72ca31b7c727341396be4cf76f464b15d9bef680a3638007ce92a009f"),  # Apache-2.0 to the end of its terms
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),  # Artistic
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),  # CC0-1.0
+    ("GFDL-1.2-only", "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f"),  # GFDL-1.2
+    ("GFDL-1.3-only", "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7"),  # GFDL-1.3
     ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),  # GPL-1
     ("GPL-1.0-only", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),  # GPL-1 to the end of its terms, that line included
     ("GPL-1.0-only", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),  # GPL-1 to the end of its terms
-    ("GPL-2.0-only", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),  # GPL-2
-    ("GPL-2.0-only", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),  # GPL-2 to the end of its terms, that line included
-    ("GPL-2.0-only", "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017"),  # GPL-2 to the end of its terms
-    ("GPL-3.0-only", "f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f"),  # GPL-3
-    ("GPL-3.0-only", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b"),  # GPL-3 to the end of its terms, that line included
-    ("GPL-3.0-only", "3d4de016a08e1d98b27dec755cdf4530b92807d97aaa185b32e12d52942b1943"),  # GPL-3 to the end of its terms
-    ("LGPL-2.0-only", "e2c319279ddf282349927826fd110bdb5b471edc3a726a66fe333c8184a4b135"),  # LGPL-2
-    ("LGPL-2.0-only", "a07313094d4e63b099417491ebc80c933bf85c36d5afddbf13be9a11457c8513"),  # LGPL-2 to the end of its terms, that line included
-    ("LGPL-2.0-only", "a745f6517e6dd821b7e0352067dcf8f32789a02694b661bfad965280370e9b1a"),  # LGPL-2 to the end of its terms
-    ("LGPL-2.1-only", "13cd11e9ccd3aae212d64d9b0f62b3a67f21019c6a65212e582b2cbbeb91cb70"),  # LGPL-2.1
-    ("LGPL-2.1-only", "bfe8e5dc6cef43d0c4777d9c1891f596159cda682ef40545ad2105f66b9746f1"),  # LGPL-2.1 to the end of its terms, that line included
-    ("LGPL-2.1-only", "4656c6936fdab5334aa4c4800c6a7881ffce24f3abb1f578c24da0bbb2735d0a"),  # LGPL-2.1 to the end of its terms
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),  # GPL-2
+    ("GPL-2.0-only", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),  # GPL-2 to the end of its terms, that line included
+    ("GPL-2.0-only", "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808"),  # GPL-2 to the end of its terms
+    ("GPL-3.0-only", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),  # GPL-3
+    ("GPL-3.0-only", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),  # GPL-3 to the end of its terms, that line included
+    ("GPL-3.0-only", "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),  # GPL-3 to the end of its terms
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),  # LGPL-2
+    ("LGPL-2.0-only", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),  # LGPL-2 to the end of its terms, that line included
+    ("LGPL-2.0-only", "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),  # LGPL-2 to the end of its terms
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),  # LGPL-2.1
+    ("LGPL-2.1-only", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),  # LGPL-2.1 to the end of its terms, that line included
+    ("LGPL-2.1-only", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),  # LGPL-2.1 to the end of its terms
     ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),  # LGPL-3
-    ("MPL-1.1", "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1"),  # MPL-1.1
-    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),  # MPL-2.0
+    ("MPL-1.1", "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"),  # MPL-1.1
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),  # MPL-2.0
 )
 #: Every canonical text above holds one of these, so a text without them cannot be known; a test checks it.
 MARKER = "licens|licenc|permission|redistribution"
+#: Words that follow "copyright" in a sentence: a line of prose that begins so is no copyright line.
+_PROSE = "holders?|owners?|notices?|licen[cs]es?|laws?|statements?|interests?|rights?|and|or|in|of|to|is|are|by the|acts?|protection|infringement|disclaimers?|ownership|material|works?|treaty|treaties|law|term"
+_PROSE_LINE = rf"(?im)^([^\p{{L}}\n]*)copyright([^\p{{L}}\n]+(?:{_PROSE})(?:[^\p{{L}}]|$))"
+#: A copyright line: the word or a sign with a year, a sign or a name behind it, or nothing but the reservation of rights.
+_NOTICE_LINE = (
+    r"(?m)^[^\p{L}\n]*(?:(?i:copyright)[^\p{L}\n]*(?:(?i:\(c\))|©|[0-9]{4}|[<\[{(]+(?i:yyyy|year))|(?i:copyright):?[ \t]+(?:by[ \t]+)?\p{Lu}"
+    r"|(?i:\(c\))[ \t]*(?i:copyright|[0-9]{4})|©)[^\n]*$|(?im)^[^\p{L}\n]*all rights reserved[^\p{L}\n]*$"
+)
 
 
 def canonical(text: Column) -> Column:
     """Canonical form of a whole text; null stays null."""
-    kept = F.regexp_replace(F.lower(text), r"(?m)^[^\p{L}\n]*(?:copyright|\(c\)|©)(?: |\t|:|\()[^\n]*$|^[^\p{L}\n]*all rights reserved[^\p{L}\n]*$", "")
+    kept = F.lower(F.regexp_replace(F.regexp_replace(text, _PROSE_LINE, "$1copy right$2"), _NOTICE_LINE, ""))
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     return F.trim(reduce(lambda c, p: F.regexp_replace(c, f" {p[0]}(?=s? )", f" {p[1]}"), EQUIVALENT, words))
 
@@ -117,23 +129,27 @@ def known_digests(spark, known=KNOWN, full=FULL) -> DataFrame:
     return digests.unionByName(spark.createDataFrame(list(full), "license_id string, digest string")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licences(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan_licences(docs: DataFrame, known=KNOWN, full=FULL, marker: str | None = None) -> DataFrame:
     """(doc_id, license_id, notices, n_notices), one row per input row of ``docs`` (doc_id, text).
 
     ``license_id`` names the licence that the whole text is, else null; ``notices``
     lists, sorted and comma-separated, the licences that whole lines are, '' if
     none; ``n_notices`` counts such lines.  Null, empty and unknown texts get
-    null, '' and 0.  Rows that repeat a doc_id share their findings.  Other columns
-    are ignored.
+    null, '' and 0.  Rows that repeat a doc_id share their findings; a null doc_id
+    finds nothing.  Other columns are ignored.  ``known`` and ``full`` are the
+    registry as texts and as digests; ``marker`` is a pattern that every text of it
+    holds (by default MARKER for the registry of this module, none for another).
     """
+    if marker is None:
+        marker = MARKER if known is KNOWN and full is FULL else ""
     spark = docs.sparkSession
     base = docs.select("doc_id", "text")
-    marked = base.where(F.col("doc_id").isNotNull() & F.col("text").rlike(f"(?i){MARKER}"))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"(?i){MARKER}"))
+    marked = base.where(F.col("doc_id").isNotNull() & F.col("text").rlike(f"(?i){marker}"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"(?i){marker}"))
     units = marked.select("doc_id", F.explode_outer(F.array_append(F.transform(lines, lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole"))), F.struct(F.col("text").alias("unit"), F.lit(True).alias("whole")))).alias("u"))
     digests = units.select("doc_id", F.col("u.whole").alias("whole"), F.sha2(canonical(F.col("u.unit")), 256).alias("digest"))
     # the registry is a constant of this module or a list handed over by the caller: its size is known here
-    found = digests.join(F.broadcast(known_digests(spark, known)) if len(known) <= 10_000 else known_digests(spark, known), "digest")
+    found = digests.join(F.broadcast(known_digests(spark, known, full)) if len(known) + len(full) <= 10_000 else known_digests(spark, known, full), "digest")
     per_doc = found.groupBy("doc_id").agg(
         F.max(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))), ",").alias("notices"),
@@ -143,7 +159,8 @@ def scan_licences(docs: DataFrame, known=KNOWN) -> DataFrame:
 
 
 def _sql_canonical(x: str) -> str:
-    out = f"regexp_replace(lower({x}), '(?m)^[^\\p{{L}}\\n]*(?:copyright|\\(c\\)|©)(?: |\\t|:|\\()[^\\n]*$|^[^\\p{{L}}\\n]*all rights reserved[^\\p{{L}}\\n]*$', '', 'g')"
+    out = f"regexp_replace({x}, '{_PROSE_LINE}', '\\1copy right\\2', 'g')"
+    out = f"lower(regexp_replace({out}, '{_NOTICE_LINE}', '', 'g'))"
     out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
     for a, b in EQUIVALENT:
         out = f"regexp_replace({out}, ' {a}(s? )', ' {b}\\1', 'g')"
