@@ -119,13 +119,26 @@ def short_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
     return hits.join(bench, "hash").join(holders, "doc_id").where(F.contains("t", "e")).select("doc_id", "item_id").distinct()
 
 
+def _combined(each: Column) -> Column:
+    """The places and slots of alignments that agree: each of (w, places, slots) in turn joins unless a slot of it has another value already."""
+    start = F.struct(F.array().cast("array<int>").alias("places"), F.array().cast("array<struct<a:string,b:string>>").alias("slots"), F.lit(0).alias("left_out"))
+
+    def joined(acc: Column, x: Column) -> Column:
+        clash = F.exists(x["slots"], lambda c: F.exists(acc["slots"], lambda d: (c["a"] == d["a"]) & (c["b"] != d["b"])))
+        more = F.struct(F.array_union(acc["places"], x["places"]).alias("places"), F.array_union(acc["slots"], x["slots"]).alias("slots"), acc["left_out"].alias("left_out"))
+        return F.when(clash, F.struct(acc["places"].alias("places"), acc["slots"].alias("slots"), (acc["left_out"] + 1).alias("left_out"))).otherwise(more)
+
+    return F.aggregate(each, start, joined)
+
+
 def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, consistent): benchmark items found in documents, one row per pair.
 
     ``coverage`` is the share of the item's template tokens that the document
-    holds along the found alignments; ``consistent`` is true unless one value of
-    the item stands for several values of the document.  Only pairs with coverage
-    of COVERAGE and LEAST tokens and consistent slots are returned, and items of
+    holds along the found alignments, the longest first and others as far as they
+    fill the item's slots with the same values; ``consistent`` is false where
+    alignments with other values were left out.  Only pairs with coverage
+    of COVERAGE and LEAST tokens are returned, and items of
     fewer than LEAST tokens that occur whole with equal values.  Null ids, null and
     empty texts find nothing; rows that repeat an id share their findings; other
     columns are ignored.
@@ -154,13 +167,16 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = kept.select("doc_id", "item_id", "n", told.alias("m"), F.array_distinct(F.when(words >= PLAIN, slots).otherwise(F.slice(slots, 1, 0))).alias("s"))
     # an alignment whose slots contradict each other counts nothing
     judged = judged.withColumn("consistent", F.size("s") == F.size(F.array_distinct(F.transform("s", lambda c: c["a"]))))
-    places = judged.where("consistent").select("doc_id", "item_id", "n", F.explode_outer(F.transform("m", lambda c: c["i"])).alias("i")).where("i IS NOT NULL").distinct()
-    total = places.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("matched"))
-    good = total.where((F.col("matched") >= LEAST) & (F.col("matched") >= F.col("n") * COVERAGE)).select("doc_id", "item_id", (F.col("matched") / F.col("n")).alias("coverage"))
+    sized = judged.where(F.col("consistent") & (F.size("m") > 0))
+    one = F.struct((-F.size("m")).alias("w"), F.transform("m", lambda c: c["i"]).alias("places"), F.col("s").alias("slots"))
+    whole = sized.groupBy("doc_id", "item_id", "n").agg(F.array_sort(F.collect_set(one)).alias("each"))  # equal alignments count once
+    total = whole.select("doc_id", "item_id", "n", _combined(F.col("each")).alias("c")).select("doc_id", "item_id", "n", F.size("c.places").alias("matched"), (F.col("c.left_out") == 0).alias("consistent"))
+    good = total.where((F.col("matched") >= LEAST) & (F.col("matched") >= F.col("n") * COVERAGE)).select("doc_id", "item_id", (F.col("matched") / F.col("n")).alias("coverage"), "consistent")
     short = short_items(docs, benchmark)
     if short is not None:
-        good = good.unionByName(short.withColumn("coverage", F.lit(1.0))).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
-    return good.select("doc_id", "item_id", "coverage", F.lit(True).alias("consistent"))
+        good = good.unionByName(short.select("doc_id", "item_id", F.lit(1.0).alias("coverage"), F.lit(True).alias("consistent")))
+    # rows that repeat an id may differ in their texts: the best finding counts
+    return good.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("consistent").alias("consistent"))
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

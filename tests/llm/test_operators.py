@@ -7,7 +7,9 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
+from html.parser import HTMLParser
 from pathlib import Path
 
 import numpy as np
@@ -67,6 +69,77 @@ def test_whole_items_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaked_items(docs, bench).collect()} >= expect
 
 
+def test_slots_are_judged_over_all_alignments(spark):
+    item = "Alice paid 12 coins for the red boat that Alice saw near the old harbour and then Alice sold 12 nets to the men who came from the far north coast"
+    again = item.replace("Alice", "Maria").replace("12", "45")
+    words_of = again.split()
+    moved = " ".join([*words_of[:13], "slowly", *words_of[13:]])
+    first, second = " ".join(words_of[:13]), " ".join(words_of[13:]).replace("Maria", "Zoe").replace("45", "99")
+    docs = documents(spark, [f"So {moved}", f"So {first} slowly {second}", f"So {again}. Then {again.replace('Maria', 'Zoe').replace('45', '99')}"])
+    bench = spark.createDataFrame([(1, f"Then {item}")], "item_id long, text string")
+    got = {r.doc_id: (r.coverage, r.consistent) for r in decontaminate.leaked_items(docs, bench).collect()}
+    assert set(got) == {0, 2} and got[0][0] > 0.9 and got[0][1] and got[2][0] > 0.9
+
+
+def brute_leaks(docs, items):
+    """All pairs, all alignments, token by token; docs and items are lists of marked tokens by id."""
+    mark = {decontaminate.NAME, decontaminate.NUMBER, decontaminate.UNIT}
+    value = lambda t: t[1:] if t[0] in mark else t
+    template = lambda t: t[0] if t[0] in mark else t
+    folded = lambda t: t[0] if t[0] in mark - {decontaminate.NAME} else value(t)
+    w, out = decontaminate.WINDOW, set()
+    for d, dt in docs:
+        for i, q in items:
+            if len(q) < decontaminate.LEAST:
+                continue
+            deltas = set()
+            for form, needs_name in ((folded, False), (template, True)):
+                a, b = [form(t) for t in q], [form(t) for t in dt]
+                for x in range(len(a) - w + 1):
+                    for y in range(len(b) - w + 1):
+                        if a[x : x + w] == b[y : y + w] and (not needs_name or decontaminate.NAME in a[x : x + w]):
+                            deltas.add(y - x)
+            found = []
+            for delta in deltas:
+                m = [k for k in range(len(q)) if 0 <= k + delta < len(dt) and (template(q[k]) == template(dt[k + delta]) or value(q[k]) == value(dt[k + delta]))]
+                if sum(template(q[k]) == q[k] for k in m) >= decontaminate.PLAIN:
+                    slots = frozenset((q[k], value(dt[k + delta])) for k in m if template(q[k]) != q[k])
+                else:
+                    m, slots = [k for k in m if value(q[k]) == value(dt[k + delta])], frozenset()
+                if m and len(slots) == len({a for a, _ in slots}):
+                    found.append((-len(m), m, slots))
+            places, held = set(), {}
+            for _, m, slots in sorted(found, key=lambda f: f[:2]):
+                if all(held.get(a, b) == b for a, b in slots):
+                    places |= set(m)
+                    held.update(slots)
+            if len(places) >= decontaminate.LEAST and len(places) >= decontaminate.COVERAGE * len(q):
+                out.add((d, i))
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(21)
+    names, plain = ["Alice", "Bob", "Clara", "Dmitri", "Eva"], [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "nu") for b in ("rt", "sk", "pf", "ld", "mb", "st")]
+    items = [(k, " ".join(["So", *(rng.choice([rng.choice(plain), rng.choice(plain), rng.choice(names), str(rng.randrange(9)), f"{rng.randrange(9)} km"]) for _ in range(rng.randrange(9, 30)))])) for k in range(12)]
+    texts = []
+    for _ in range(120):
+        _, text = rng.choice(items)
+        swap = {n: rng.choice(names) for n in names} if rng.random() < 0.6 else {}
+        figure = {str(n): str(rng.randrange(9)) for n in range(9)} if rng.random() < 0.6 else {}
+        w = [figure.get(swap.get(t, t), swap.get(t, t)) for t in text.split()]
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(1, len(w))
+            w[at : at + rng.randrange(0, 2)] = [rng.choice(plain + names)] * rng.randrange(0, 2)
+        texts.append(" ".join([*(rng.choice(plain) for _ in range(5)), *w, *(rng.choice(plain) for _ in range(5))]))
+    docs = documents(spark, texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    marked = lambda df, key: [(r[0], r[1]) for r in df.select(key, decontaminate.marked_tokens(F.col("text"))).collect()]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaked_items(docs, bench).collect()}
+    expect = brute_leaks(marked(docs, "doc_id"), marked(bench, "item_id"))
+    assert got == expect and 30 < len(expect) < 400
+
+
 def test_every_window_case_and_length_is_sought(spark):
     rng = random.Random(8)
     plain = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
@@ -172,6 +245,80 @@ def test_nothing_but_boilerplate_is_dropped():
     assert two.extract([]) == f"{long} other"
 
 
+def main_text(*parts, paths=()):
+    return html_extract.Page("".join(parts)).extract(list(paths))
+
+
+@pytest.mark.parametrize(
+    ("markup", "expect"),
+    [
+        ("<html><head><title>t</title><body><article><p>Hello world</p></article>", "Hello world"),
+        ("<article><p>Pick <select><option>a<option>b<p>Rest</p><p>more</p></article>", "Pick Rest more"),
+        ("<article><p>Pick <select><option>a</option></select> of text</p></article>", "Pick of text"),
+        ("<article><p>see <svg><path d=x/><text>no</text><p>after</p></article>", "see after"),
+        ("<article><p>if <svg/> then <svg><circle/></svg> on</p></article>", "if then on"),
+        ("<article><p>if <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> then</p></article>", "if x=2 then"),
+        ("<article><p>if <math><mi>x</mi><p>after</p></article>", "if x after"),
+        ("<article><div class='article-header'><h1>Title</h1></div><p>body</p></article>", "Title body"),
+        ("<article><div class=header><h1>Title</h1><i>by X</i></div><p>body</p><address>Main street</address></article>", "Title body Main street"),
+        ("<article><p>body</p><div class=refs><ol><li><a href=x>A long reference</a></li></ol></div></article>", "body A long reference"),
+        ("<body><div class=header><h1>Site</h1></div><address>x</address><article><p>body</p><noscript>no</noscript></article>", "body"),
+        ("<article><p>a</p><noscript><p>js</p><p>more</p></noscript><p>b</p></article>", "a b"),
+        ("<article><header><h1><a><span><b><i>Deep title</i></b></span></a></h1><p>byline</p></header><p>b</p></article>", "Deep title b"),
+    ],
+)
+def test_markup_that_once_lost_text(markup, expect):
+    assert main_text(markup) == expect
+
+
+class PlainReader(HTMLParser):
+    """Text inside article elements, without the elements of the contract; blocks part words."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("br", "meta", "hr", "img", "link", "input"):
+            self.open.append(tag)
+        if tag not in ("a", "b", "i", "em", "strong", "span"):
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+        if tag not in ("a", "b", "i", "em", "strong", "span"):
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if "article" in self.open and not {"nav", "footer", "script", "style", "form", "aside"} & set(self.open):
+            self.out.append(data)
+
+
+def test_main_text_of_all_pages_equals_a_plain_reader(spark):
+    pages = common.table(spark, SF, "pages")
+    expect = {}
+    for r in pages.collect():
+        reader = PlainReader()
+        reader.feed(r.html or "")
+        reader.close()
+        expect[r.page_id] = " ".join("".join(reader.out).split())
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages).collect()}
+    assert got == expect and all(expect.values())
+
+
+def test_ties_of_votes_and_long_pages(spark):
+    body = "<p>" + "word &amp; more " * 20 + "</p>"
+    a, b = f"<div class=a>{body}</div><nav>menu</nav>", f"<div class=b>{body}</div><nav>menu</nav>"
+    long = "<article>" + "".join(f"<p>line {i} <b>x</b></p>" for i in range(60_000)) + "</article>"
+    rows = [(1, "http://h.example/1", a), (2, "http://h.example/2", b), (3, "http://h.example/3", long), (4, "http://h.example/3", long), (5, None, "<div>" * 20_000 + "deep")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    runs = [{r.page_id: (r.text, r.n_chars, r.paths) for r in html_extract.extract_main_text(pages.repartition(n)).collect()} for n in (1, 3)]
+    assert runs[0] == runs[1] and runs[0][5][0] == "deep"
+    assert runs[0][1][0] == runs[0][2][0] == " ".join(["word & more"] * 20)
+    assert runs[0][3][0] == " ".join(f"line {i} x" for i in range(60_000)) == runs[0][4][0]
+
+
 def test_broken_markup_does_not_crash():
     rng = random.Random(5)
     parts = ["<p", ">", "</p>", "<div class='a\"b'>", "&amp;", "x", "<!--", "-->", "<script>", "</script", "<td>", "</table>", '"', "<article>", " ", "</body>"]
@@ -315,6 +462,20 @@ def test_whole_long_licences_are_known(spark):
     assert [got[i] for i in range(len(texts))] == [*names.values(), "Apache-2.0", "GPL-3.0-only", None]
 
 
+def test_licences_are_known_at_every_line_width(spark):
+    long = [(i, t) for i, t in licences.KNOWN if len(t) > 300]
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(p, n, break_long_words=False) for p in t.split("\n\n"))
+    rows = [(200 * k + n, f"Copyright (c) 2019 Jane Doe\n\n{wrap(t, n)}") for k, (_, t) in enumerate(long) for n in range(40, 121)]
+    got = {r.doc_id: r.license_id for r in licences.scan_licences(documents(spark, rows)).collect()}
+    assert got == {200 * k + n: i for k, (i, _) in enumerate(long) for n in range(40, 121)}
+
+
+def test_a_registry_of_the_caller_needs_no_marker_word(spark):
+    docs = documents(spark, [(1, "Do What You Like With It!"), (2, "x\nFree beer for all.\ny"), (None, "Free beer for all."), (3, "Copyright Jane Doe\nfree beer, for ALL")])
+    got = {r.doc_id: (r.license_id, r.n_notices) for r in licences.scan_licences(docs, known=[("like", "do what you like with it"), ("beer", "Free beer for all")], full=()).collect()}
+    assert got == {1: ("like", 1), 2: (None, 1), 3: ("beer", 1), None: (None, 0)}
+
+
 def test_every_known_text_holds_a_marker():
     assert all(re.search(licences.MARKER, t, re.I) for _, t in licences.KNOWN)
 
