@@ -72,17 +72,23 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def spans_hashed(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes of ``raw``."""
+    codes = np.frombuffer(raw, np.uint8)
+    up, down = _POWERS.upto(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start offset of every word of ``raw`` (which ends in white space), A-Z in lower case."""
-    codes = np.frombuffer(raw.translate(_FOLD), np.uint8)
-    gap = _SPACE[codes]
+    folded = raw.translate(_FOLD)
+    gap = _SPACE[np.frombuffer(folded, np.uint8)]
     inside = ~gap
     starts = np.flatnonzero(inside & np.concatenate([[True], gap[:-1]]))
     ends = np.flatnonzero(gap & np.concatenate([[False], inside[:-1]]))
-    up, down = _POWERS.upto(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), starts
+    return spans_hashed(folded, starts, ends), starts
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:

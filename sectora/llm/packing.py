@@ -10,6 +10,7 @@ groups, until one group is left or a round saves nothing.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,26 +21,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .jaccard import spans_hashed
 
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 25_000  # pieces that one task packs at once
 MAX_ROUNDS = 8
-CACHE = 800_000  # bound: cached strings per worker and table
-
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=>?@\[-`{-~]+")  # ASCII without ' and <, and Latin-1 letters
+CACHE = 800_000  # bound: cached pieces per worker; the cache is emptied beyond it
+BATCH = 1 << 20  # bytes of text encoded at a time (a longer text at once)
+
+#: Byte classes. Latin-1 letters are the two bytes C3 9F and C3 A0 to C3 BF without C3 B7, once in lower case.
+_GAP, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _GAP
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[0x27, 0x3C]] = _ODD  # ' and < may begin contractions and special tokens
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SECOND = np.zeros(256, bool)
+_SECOND[[0x9F, *range(0xA0, 0xB7), *range(0xB8, 0xC0)]] = True
+_SECOND_UPPER = np.zeros(256, bool)
+_SECOND_UPPER[[*range(0x80, 0x97), *range(0x98, 0x9F)]] = True
 _PIECE = re.compile(r"[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
-_CONTROL = re.compile("[\x1c-\x1f]")
+
+
+def plain_pieces(raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """``raw`` (ending in white space) in lower case, start and end of its pieces, and which of them are odd.
+
+    Words of plain letters, digits and signs are cut at the pre-tokenizer's borders
+    (runs of letters, single digits, runs of signs); any other word is one odd piece.
+    """
+    codes = np.frombuffer(bytearray(raw.translate(_LOWER)), np.uint8)
+    lead = np.flatnonzero(codes[:-1] == 0xC3)
+    second = codes[lead + 1]
+    upper = lead[_SECOND_UPPER[second]] + 1
+    codes[upper] += 32
+    kind = _KIND[codes]
+    lead = lead[_SECOND[codes[lead + 1]]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    gap = kind == _GAP
+    before = np.concatenate([[True], gap[:-1]])
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
+        w = np.unique(np.searchsorted(starts, odd, "right") - 1)
+        for a, b in zip(starts[w].tolist(), ends[w].tolist(), strict=True):
+            kind[a:b] = _ODD
+    first = ~gap
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    starts = np.flatnonzero(first)
+    ends = np.flatnonzero(~gap[:-1] & (gap[1:] | first[1:])) + 1
+    return codes.tobytes(), starts, ends, kind[starts] == _ODD
 
 
 class CachedEncoder:
-    """Ids of a whole text by a ``tokenizers`` file, with caches for white-space separated strings.
+    """Ids of a whole text by a ``tokenizers`` file, with a cache of pieces.
 
     White space never joins neighbours in these vocabularies, so a text is the
-    concatenation of its strings; strings of plain letters, digits and signs are
-    also cut at the pre-tokenizer's borders, so that a new word is encoded once.
-    ``split`` tells whether the file drops white space and allows that; else
-    every text goes to the tokenizer whole.
+    concatenation of its words; plain words are also cut at the pre-tokenizer's
+    borders.  Pieces are found and looked up by 64-bit hash for many texts at once,
+    and only new ones are encoded.  ``split`` tells whether the file drops white
+    space and allows that; else every text goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -48,8 +91,9 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         probe = "The cat's 42 (blue) hats,\n\tand  more."
         plain = "The 42 (blue) hats, and"
-        self.strings: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[int, int] = {}  # hash of a piece: its place in starts
+        self.starts, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.zeros(0, "<u4")
         self.ends = self._word_ends()
         pieces = [p for w in plain.split() for p in _PIECE.findall(w.lower())]
         self.split = b"".join(map(self._raw, probe.split())) == self._raw(probe) and b"".join(map(self._raw, pieces)) == self._raw(plain)
@@ -76,7 +120,7 @@ class CachedEncoder:
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
         """Ids of many plain pieces from one text, parted at the ids that close a word."""
-        ids = np.asarray(self.bare.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        ids = np.asarray(self.bare.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
         cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         raw = ids.tobytes()
         if len(cuts) != len(pieces):
@@ -94,36 +138,49 @@ class CachedEncoder:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; what the caches lack is encoded at once for all of them."""
+        """The ids of each text; texts are taken together up to BATCH bytes."""
         if not self.split:
             return list(map(self._raw, texts))
-        whole = {i: self._raw(t) for i, t in enumerate(texts) if _CONTROL.search(t)}
-        words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        get = self.strings.get
-        found = [list(map(get, w)) for w in words]
-        fresh = {w for ws, bs in zip(words, found, strict=True) if None in bs for w, b in zip(ws, bs, strict=True) if b is None}
-        made: dict[str, bytes] = {}
-        if fresh:
-            plain = {w: _PIECE.findall(w.lower()) for w in fresh if _PLAIN.fullmatch(w)}
-            pieces = list({p for ps in plain.values() for p in ps if p not in self.pieces})
-            coded = dict(zip(pieces, (self._joined if self.bare else self._batch)(pieces), strict=True)) if pieces else {}
-            odd = [w for w in fresh if w not in plain]
-            made.update(zip(odd, self._batch(odd), strict=True))
-            known = self.pieces
-            for w, ps in plain.items():
-                made[w] = b"".join([coded[p] if p in coded else known[p] for p in ps])
-            if len(known) < CACHE:
-                known.update(coded)
-            if len(self.strings) < CACHE:
-                self.strings.update(made)
-        out = []
-        for i, (ws, bs) in enumerate(zip(words, found, strict=True)):
-            if i in whole:
-                out.append(whole[i])
-            else:
-                out.append(b"".join([made[w] if b is None else b for w, b in zip(ws, bs, strict=True)] if None in bs else bs))
+        raws = [t.encode("utf-8", "replace") for t in texts]
+        out: list[bytes] = []
+        i = 0
+        while i < len(raws):
+            j, size = i, 0
+            while j < len(raws) and (j == i or size + len(raws[j]) <= BATCH):
+                size += len(raws[j])
+                j += 1
+            out += self._together(raws[i:j])
+            i = j
         return out
 
+    def _together(self, raws: list[bytes]) -> list[bytes]:
+        text, starts, ends, odd = plain_pieces(b"\n".join(raws) + b"\n")
+        hashes, first, place = np.unique(spans_hashed(text, starts, ends), return_index=True, return_inverse=True)
+        found = np.fromiter(map(self.known.get, hashes.tolist(), itertools.repeat(-1)), np.int64, len(hashes))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            at = first[new]
+            spans = [text[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            strange = odd[at].tolist()
+            plain = [w for w, o in zip(spans, strange, strict=True) if not o]
+            coded = iter((self._joined if self.bare else self._batch)(plain) if plain else [])
+            others = iter(self._batch([w for w, o in zip(spans, strange, strict=True) if o]))
+            made = [next(others) if o else next(coded) for o in strange]
+            found[new] = np.arange(len(self.starts), len(self.starts) + len(new))
+            lengths = np.asarray([len(m) // 4 for m in made], np.int64)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
+            self.known.update(zip(hashes[new].tolist(), found[new].tolist(), strict=True))
+        mine = found[place]
+        lengths = self.lengths[mine]
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.repeat(self.starts[mine] - sums[:-1], lengths) + np.arange(sums[-1])].tobytes()
+        cuts = (4 * sums[np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))]).tolist()
+        if len(self.known) > CACHE:
+            self.known, self.starts, self.lengths, self.ids = {}, self.starts[:1], self.lengths[:1], self.ids[:0]
+        return [ids[a:b] for a, b in itertools.pairwise(cuts)]
+
 
 _ENCODERS: dict[str, CachedEncoder] = {}
 
@@ -276,5 +333,9 @@ def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Contract rows of op2: one row per piece with its place."""
+    """Contract rows of op2: one row per piece with its place.
+
+    Null and empty texts are the single id END_ID.  Rows with a null or repeated
+    doc_id are packed one by one like any other; other columns are ignored.
+    """
     return pack_pieces(written(token_pieces(docs, tokenizer, capacity), "pieces"), capacity)

@@ -189,6 +189,24 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack_documents(documents(spark, [(1, "a")]).limit(0), PATH).count() == 0
 
 
+def test_pieces_of_odd_texts_have_the_tokenizers_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng, tok, chars = random.Random(1), Tokenizer.from_file(PATH), "abzAZ019 .,!'<>|éÉ×÷ßÿÀ\n\t\x1c\x0b\u2003\xa0日😀İΣ-_"
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["", " ", "<|endoftext|> x<|startoftext|>y", "Don't 'tis I'M"]
+    monkeypatch.setattr(packing, "BATCH", 3000)
+    monkeypatch.setattr(packing, "CACHE", 500)
+    coder = packing.CachedEncoder(PATH)
+    assert coder.split and coder.bare
+    assert [np.frombuffer(r, "<u4").tolist() for r in coder.encode_many(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_of_null_ids_and_repeats(spark):
+    rows = packing.pack_documents(documents(spark, [(None, "a b"), (None, "a b"), (3, None), (3, None)]), PATH).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.piece, r.start, r.length) for r in rows) == [(False, 3, 0, 0, 1)] * 2 + [(True, 0, 0, 0, 3)] * 2
+    assert len({r.sequence_id for r in rows}) == 1 and sorted(r.offset for r in rows) == sorted({r.offset for r in rows})
+
+
 def test_bounds_never_exceed_an_optimum():
     rng = np.random.default_rng(3)
     for _ in range(100):
