@@ -24,7 +24,6 @@ LOOKAHEAD = max(WIDTHS)
 BLOCK = 256 * WINDOW  # bytes convolved at a time
 LEARN_TEXTS = 600  # bound: labelled texts per language
 LEARN_WINDOWS = 3  # bound: windows per labelled text
-MAX_LANGUAGES = 64  # bound: the most frequent languages are learned
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -99,19 +98,30 @@ class ByteCnnRuntime:
     def __init__(self, classes, packed, scale, bias, dense, out):
         self.classes, self.packed, self.scale, self.bias, self.dense, self.out = classes, packed, scale, bias, dense, out
 
-    def log_probs(self, codes: np.ndarray) -> np.ndarray:
-        """One row per window; ``codes`` holds whole windows and LOOKAHEAD bytes more."""
+    def log_probs(self, codes: np.ndarray, breaks: np.ndarray | None = None) -> np.ndarray:
+        """One row per window; ``codes`` holds whole windows and LOOKAHEAD bytes more.
+
+        ``breaks`` are the places where another text begins; what lies before them sees zeros behind them.
+        """
         total = (len(codes) - LOOKAHEAD) // WINDOW
+        breaks = np.zeros(0, np.int64) if breaks is None else breaks
         parts = []
         for start in range(0, total * WINDOW, BLOCK):
             n = min(BLOCK, total * WINDOW - start)
             x = codes[start : start + n + LOOKAHEAD]
+            own = breaks[np.searchsorted(breaks, start, "right") : np.searchsorted(breaks, start + n, "right")] - start
+            shifted = [x[:n]]
+            for j in range(1, LOOKAHEAD):
+                y = x[j : j + n].copy()
+                for i in range(1, j + 1):
+                    y[own - i] = 0
+                shifted.append(y)
             pooled = []
             for groups in self.packed:
                 for tables in groups:
-                    a = tables[0][x[:n]].view(np.int16)
+                    a = tables[0][shifted[0]].view(np.int16)
                     for j in range(1, len(tables)):
-                        a += tables[j][x[j : j + n]].view(np.int16)
+                        a += tables[j][shifted[j]].view(np.int16)
                     a = a.reshape(n // WINDOW, WINDOW * 8)
                     while a.shape[1] > 8:
                         half = a.shape[1] // 2
@@ -136,8 +146,8 @@ class ByteCnnRuntime:
             chunks.append(raw + bytes(n * WINDOW - len(raw)))
             counts.append(n)
         chunks.append(bytes(LOOKAHEAD))
-        rows = self.log_probs(np.frombuffer(b"".join(chunks), np.uint8))
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+        rows = self.log_probs(np.frombuffer(b"".join(chunks), np.uint8), starts[1:] * WINDOW)
         mean = np.add.reduceat(rows, starts, axis=0) / np.asarray(counts)[:, None]
         prob = np.exp(mean - mean.max(1, keepdims=True))
         prob /= prob.sum(1, keepdims=True)
@@ -172,7 +182,7 @@ def train_language_model(docs: DataFrame, learn: F.Column | None = None) -> Byte
     rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     if learn is not None:
         rows = rows.where(learn)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return ByteCnn([]).quantised()
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.5 * LEARN_TEXTS / n + 20.0 / n))])
@@ -192,8 +202,9 @@ def train_language_model(docs: DataFrame, learn: F.Column | None = None) -> Byte
 def identify_language(docs: DataFrame, model: ByteCnnRuntime, text: str = "text", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """``docs`` with the columns ``pred`` and ``score`` of every whole text appended.
 
-    Null texts and texts without a letter get ``und`` with score 1.  All input columns pass
-    through untouched; an input column named like an output column raises.
+    Null texts and texts without a letter get ``und`` with score 1; equal texts, repeated rows
+    too, get equal results whatever stands beside them.  All input columns pass through
+    untouched; an input column named like an output column raises.
     """
     if {pred, score} & set(docs.columns):
         raise ValueError(f"docs already has a column {pred} or {score}")
