@@ -152,3 +152,20 @@ def chat_report(turns: DataFrame) -> DataFrame:
     extra = turns.sparkSession.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     base = turns.selectExpr("CAST(conv_id AS BIGINT) conv_id", "CAST(turn AS BIGINT) turn", "role", "text")
     return read_back(prefix_target_examples(base.unionByName(extra)))
+
+
+def oracle_sql() -> str:
+    """The contract rows of ``conversations`` in DuckDB's SQL: for system, user, assistant and tool turns."""
+    return r"""
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS final,
+    sum(length('### ' || role || ': ' || replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') || chr(10) || '</turn>' || chr(10))) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS chars
+  FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) FILTER (role = 'assistant' OR final) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant' OR final) AS n_examples
+FROM f GROUP BY conv_id"""

@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_report
+from .chat import oracle_sql as chat_sql
 from .common import small_batches
 from .common import table as plain_table
 from .decontaminate import decontamination_report
 from .embeddings import cosine_components
+from .embeddings import oracle_sql as cosine_sql
 from .html_extract import extract_main_text
 from .jaccard import jaccard_components
 from .jaccard import oracle_sql as jaccard_sql
@@ -21,6 +23,7 @@ from .licences import scan_licences
 from .packing import pack_documents
 from .toxicity import toxicity_report
 from .warc import archive_report
+from .warc import oracle_sql as archive_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_licence_digests": licence_sql(), "op8_ngram_jaccard": jaccard_sql()}
+    return {
+        "op5_warc_revisits": archive_sql(),
+        "op7_licence_digests": licence_sql(),
+        "op8_ngram_jaccard": jaccard_sql(),
+        "op9_chat_prefixes": chat_sql(),
+        "op10_embedding_lsh": cosine_sql(),
+    }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -421,6 +422,22 @@ def test_archives_round_trip(spark, least):
     warc.write_archives(pages.limit(0), common.scratch(spark, "t"))
 
 
+def test_archive_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ROW_BYTES", 2000)
+    rng = random.Random(2)
+    rows = [(i, f"http://h/{i}", "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([10, 900, 3000])))) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = common.scratch(spark, "t")
+    warc.write_archives(pages, path)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert len(sizes) > 5 and max(sizes) < 17 * 2000 + 3000
+    assert sorted((r.page_id, r.payload.decode()) for r in warc.read_archives(spark, path).collect()) == [(i, h) for i, _, h in rows]
+
+
+def test_archives_equal_sql(spark):
+    assert oracle.differences(warc.archive_report(common.table(spark, SF, "pages")), oracle.connect(SF), warc.oracle_sql()) == []
+
+
 def test_damaged_archive_is_refused():
     data = warc.gzip_members(warc.build_record(1, "u", b"payload", None, None))
     assert [b for _, b in warc.parse_archive(data + data)][1].endswith(b"payload")
@@ -453,6 +470,32 @@ def test_windows_cover_the_whole_text():
     assert langs[2] == "und" and len(scores) == 3
 
 
+def test_convolution_equals_a_plain_one():
+    """int16 tables and shifted additions against a loop over every position, in floating point."""
+    model = language.ByteCnn([f"l{i}" for i in range(70)], seed=3)  # any number of languages
+    rng = np.random.default_rng(5)
+    model.bias += rng.normal(0, 0.1, len(model.bias)).astype(np.float32)
+    codes = rng.integers(0, 256, 3 * language.WINDOW + language.LOOKAHEAD, dtype=np.uint8)
+    got = model.quantised().log_probs(codes)
+    for w in range(3):
+        pooled = []
+        for width, t in zip(language.WIDTHS, model.tables, strict=True):
+            at = range(w * language.WINDOW, (w + 1) * language.WINDOW)
+            pooled += [max(sum(t[j, codes[i + j], f] for j in range(width)) for i in at) for f in range(language.FILTERS)]
+        logits = np.maximum(np.asarray(pooled) + model.bias, 0) @ model.dense + model.out
+        plain = logits - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+        assert np.abs(got[w] - plain).max() < 0.01
+
+
+def test_predictions_do_not_depend_on_neighbours_or_repeats(spark):
+    docs = common.table(spark, SF, "documents").select("doc_id", "text", "lang")
+    model = language.train_language_model(docs)
+    texts = [r.text for r in docs.collect()]
+    alone = [model.predict([t]) for t in texts[:60]]
+    together = model.predict(texts[:60] + texts[:60])
+    assert [a[0][0] for a in alone] * 2 == together[0] and np.allclose([a[1][0] for a in alone] * 2, together[1])
+
+
 # -- 7: licences ------------------------------------------------------------------------------------------------------
 
 
@@ -627,6 +670,10 @@ def test_chat_round_trip(spark):
     assert chat.prefix_target_examples(turns.limit(0)).count() == 0
 
 
+def test_chat_equals_sql(spark):
+    assert oracle.differences(chat.chat_report(common.table(spark, SF, "conversations")), oracle.connect(SF), chat.oracle_sql()) == []
+
+
 # -- 10: embeddings ---------------------------------------------------------------------------------------------------
 
 
@@ -652,6 +699,20 @@ def test_cosine_components_against_brute_force(spark, block, monkeypatch):
     assert embeddings.cosine_components(frame.limit(0)).count() == 0
 
 
+def test_cosines_equal_sql(spark):
+    assert oracle.differences(embeddings.cosine_components(common.table(spark, SF, "embeddings")), oracle.connect(SF), embeddings.oracle_sql()) == []
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(4)
+    x = embeddings._unit(rng.normal(size=(4000, 48)).tolist())
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    a, b = embeddings.sketches(x).view(np.uint64), embeddings.sketches(embeddings._unit(y.tolist())).view(np.uint64)
+    assert np.bitwise_count(a ^ b).sum(1).max() <= embeddings.sketch_limit(0.95) < 40
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
