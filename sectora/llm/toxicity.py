@@ -1,19 +1,20 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The index holds a bounded sample of labelled texts.  Its terms are the words
-whose document frequency differs between the two labels by more than chance
-(log-likelihood ratio, Bonferroni-corrected): over all words of a text the rare
-filler words would decide the cosine and hide the words that matter.  Within
-that vocabulary the cosine is exact, document frequencies are counted over all
-documents, and block maxima only skip blocks that cannot enter the top k.
+The index holds a bounded sample of labelled texts with every word of theirs.  A
+word's weight is its TF-IDF times the square of its contrast between the labels (the
+log-likelihood ratio of its document frequencies in the sample): by plain TF-IDF the
+rare filler words would decide the cosine.  No word is left out; a word that the
+examples lack has no contrast and no weight.  The cosine over these vectors is exact,
+document frequencies are counted over all documents, and block maxima only skip
+blocks that cannot enter the top k.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LEARN_TOXIC = 2500  # bound: labelled examples with label 1
-LEARN_CLEAN = 4000  # bound: labelled examples with label 0
-MAX_TERMS = 8192  # bound: terms of the index
+LEARN_TOXIC = 2000  # bound: labelled examples with label 1
+LEARN_CLEAN = 3000  # bound: labelled examples with label 0
 NEIGHBOURS = 15
 BLOCK = 64  # examples per posting block
+SHARES = (0.05, 0.01, 0.0)  # of a query's weight that may be open when candidates are looked at
+FEW = 100  # candidates that are compared exactly; with more, lighter terms are added first
 THRESHOLD = 0.5
-MAX_WORD = 64  # bytes; longer runs are not words
+LEAST_CONTRAST = 1e-3  # of a word that is as frequent under either label
 #: Bytes to words: ASCII letters in lower case and all bytes of non-ASCII letters stay, the rest parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -52,7 +54,7 @@ def _example_words(rows: DataFrame) -> DataFrame:
                 sketches.append([min(zlib.crc32(g, seed) for g in grams) for seed in (0, 1, 2)])
                 ids.append(doc_id)
                 toxic.append(label)
-                words.append([x.decode("utf-8", "replace") for x in sorted({x for x in w if len(x) <= MAX_WORD})])
+                words.append([x.decode("utf-8", "replace") for x in sorted(set(w))])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "toxic", "words", "sketch"])
 
     return rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, words array<string>, sketch array<long>")
@@ -71,70 +73,112 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn) -> DataFrame:
     return one
 
 
+def _slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of several runs, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples as postings in blocks with their largest weight."""
+    """Unit vectors of the examples, by example and as postings, in blocks of examples with the largest weight of each term."""
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray, vectors: list[dict[int, float]], labels: list[int], ids: list[int]):
+    def __init__(self, terms: list[bytes], weight: np.ndarray, vectors: list[dict[int, float]], labels: list[int], ids: list[int]):
         self.terms = {t: i for i, t in enumerate(terms)}
-        self.idf, self.labels, self.ids = idf, np.asarray(labels, np.float64), np.asarray(ids, np.int64)
+        self.weight, self.labels, self.ids = np.asarray(weight, np.float64), np.asarray(labels, np.float64), np.asarray(ids, np.int64)
         self.blocks = -(-len(ids) // BLOCK)
-        posting: dict[int, list[tuple[int, float]]] = {}
-        for n, v in enumerate(vectors):
-            for t, w in v.items():
-                posting.setdefault(t, []).append((n, w))
-        self.docs: dict[int, np.ndarray] = {}
-        self.weights: dict[int, np.ndarray] = {}
-        self.bounds: dict[int, np.ndarray] = {}  # first posting of each block
-        self.peaks: dict[int, np.ndarray] = {}  # largest weight of each block
-        for t, p in posting.items():
-            self.docs[t] = d = np.asarray([n for n, _ in p], np.int64)
-            self.weights[t] = w = np.asarray([x for _, x in p])
-            self.bounds[t] = np.searchsorted(d, np.arange(self.blocks + 1) * BLOCK)
-            peak = np.zeros(self.blocks)
-            np.maximum.at(peak, d // BLOCK, w)
-            self.peaks[t] = peak
-        blank = np.asarray([not v for v in vectors], bool)
+        sizes = np.asarray([len(v) for v in vectors], np.int64)
+        self.rows = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)  # first entry of each example
+        self.entry_term = np.fromiter((t for v in vectors for t in v), np.int32, self.rows[-1])
+        self.entry_weight = np.fromiter((w for v in vectors for w in v.values()), np.float64, self.rows[-1])
+        example = np.repeat(np.arange(len(vectors)), sizes)
+        order = np.argsort(self.entry_term, kind="stable")
+        self.posting_example, self.posting_weight = example[order].astype(np.int32), self.entry_weight[order]
+        self.postings = np.searchsorted(self.entry_term[order], np.arange(len(terms) + 1))
+        # the largest weight of each term in each block that holds it
+        place = self.entry_term[order].astype(np.int64) * max(1, self.blocks) + self.posting_example // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+        self.peak = np.maximum.reduceat(self.posting_weight, first) if len(first) else np.zeros(0)
+        self.peak_block = (place[first] % max(1, self.blocks)).astype(np.int32)
+        self.peaks = np.searchsorted(place[first] // max(1, self.blocks), np.arange(len(terms) + 1))
+        self.top = np.zeros(len(terms))  # largest weight of each term
+        np.maximum.at(self.top, place[first] // max(1, self.blocks), self.peak)
+        blank = sizes == 0
         # a text without an index term is as near to every example without one: their labels, with one vote of the prior
         prior = (self.labels.sum() + 1) / (len(ids) + 2)
         self.prior = prior
         self.blank = float((self.labels[blank].sum() + prior) / (blank.sum() + 1))
         self.slope, self.offset = 1.0, 0.0
+        self.query = np.zeros(len(terms))  # scratch: weights of the query at hand
+
+    def arrays(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Index terms of a text and their weights in its unit vector."""
+        found = np.fromiter(map(self.terms.get, words, itertools.repeat(-1)), np.int64, len(words))
+        terms, n = np.unique(found[found >= 0], return_counts=True)
+        w = (1 + np.log(n)) * self.weight[terms]
+        return terms, w / np.sqrt(w @ w) if len(w) else w
 
     def vector(self, words: list[bytes]) -> dict[int, float]:
-        """Unit TF-IDF vector of a text over the index terms."""
-        get = self.terms.get
-        found = Counter([i for i in map(get, words) if i is not None])
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in found.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above 0, exact, ties by position; ``skip`` leaves one example out."""
-        terms = [(t, q) for t, q in query.items() if t in self.docs]
-        if not terms:
+        """Unit vector of a text over the index terms."""
+        terms, w = self.arrays(words)
+        return dict(zip(terms.tolist(), w.tolist(), strict=True))
+
+    def _exact(self, examples: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines of the query with some examples, from their own entries."""
+        sizes = self.rows[examples + 1] - self.rows[examples]
+        at = _slices(self.rows[examples], sizes)
+        self.query[terms] = weights
+        each = self.query[self.entry_term[at]] * self.entry_weight[at]
+        self.query[terms] = 0
+        return np.bincount(np.repeat(np.arange(len(examples)), sizes), each, len(examples))
+
+    def nearest(self, query: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> list[tuple[float, int]]:
+        """The k examples of largest cosine above 0, exact, ties by position; ``skip`` leaves one example out.
+
+        Postings are added up from the heaviest terms on, until what the block maxima
+        of the lighter terms allow leaves few blocks, and in them few examples, that
+        can still enter the top k; those are compared exactly.
+        """
+        if isinstance(query, dict):
+            query = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
+        terms, weights = query
+        if not len(terms) or not len(self.ids):
             return []
-        upper = np.zeros(self.blocks)
-        for t, q in terms:
-            upper += q * self.peaks[t]
-        best: list[tuple[float, int]] = []
-        order = np.argsort(-upper, kind="stable")
-        at = 0
-        while at < len(order) and upper[order[at]] > 0:
-            if len(best) >= k and upper[order[at]] < -best[k - 1][0] - 1e-12:
+        order = np.argsort(-weights * self.top[terms], kind="stable")
+        terms, weights = terms[order], weights[order]
+        rest = np.concatenate([np.cumsum((weights * self.top[terms])[::-1])[::-1], [0.0]])  # what terms from each place on can add
+        score = np.zeros(len(self.ids))
+        done = 0
+        for share in SHARES:
+            upto = int(np.argmax(rest <= share * rest[0]))
+            if upto > done:
+                part, w = terms[done:upto], weights[done:upto]
+                lengths = self.postings[part + 1] - self.postings[part]
+                at = _slices(self.postings[part], lengths)
+                score += np.bincount(self.posting_example[at], np.repeat(w, lengths) * self.posting_weight[at], len(score))
+                done = upto
+            if skip >= 0:
+                score[skip] = 0
+            floor = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
+            if done == len(terms):
+                found = np.flatnonzero(score >= max(floor, 1e-300))
+                cosine = score[found]
                 break
-            step = order[at : at + 8]
-            at += 8
-            for block in step[upper[step] > 0]:
-                score = np.zeros(BLOCK)
-                for t, q in terms:
-                    lo, hi = self.bounds[t][block], self.bounds[t][block + 1]
-                    if hi > lo:
-                        score[self.docs[t][lo:hi] - block * BLOCK] += q * self.weights[t][lo:hi]
-                best += [(-score[i], int(block) * BLOCK + int(i)) for i in np.flatnonzero(score) if block * BLOCK + i != skip]
-            best = sorted(best)[:k]
-        return [(-s, n) for s, n in best]
-
-    def vote(self, query: dict[int, float], skip: int = -1) -> tuple[float, list[tuple[float, int]]]:
+            if floor > rest[done]:
+                found = np.flatnonzero(score + rest[done] >= floor - 1e-9)
+                if len(found) > FEW:
+                    part, w = terms[done:], weights[done:]
+                    lengths = self.peaks[part + 1] - self.peaks[part]
+                    at = _slices(self.peaks[part], lengths)
+                    light = np.bincount(self.peak_block[at], np.repeat(w, lengths) * self.peak[at], self.blocks)
+                    found = found[score[found] + light[found // BLOCK] >= floor - 1e-9]
+                if len(found) <= FEW:
+                    cosine = self._exact(found, terms, weights)
+                    break
+        best = np.lexsort((found, -cosine))[:k]
+        best = best[(cosine[best] > 0) & (found[best] != skip)]
+        return list(zip(cosine[best].tolist(), found[best].tolist(), strict=True))
+
+    def vote(self, query: dict[int, float] | tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, list[tuple[float, int]]]:
         """Share of label 1 among the nearest examples, each weighing 1 / (distance + 0.05), with one vote of the prior."""
         near = self.nearest(query, NEIGHBOURS, skip)
         if not near:
@@ -165,7 +209,7 @@ class BlockMaxIndex:
 
     def score(self, words: list[bytes]) -> tuple[float, list[tuple[int, float]]]:
         """Calibrated probability of label 1 and the evidence: (doc_id, cosine) of the examples that voted."""
-        raw, near = self.vote(self.vector(words))
+        raw, near = self.vote(self.arrays(words))
         if near:
             raw = min(max(raw, 1e-9), 1 - 1e-9)
             raw = 1 / (1 + math.exp(-(self.slope * math.log(raw / (1 - raw)) + self.offset)))
@@ -178,12 +222,13 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(place), np.int64), 0
+        get = place.get
         for b in batches:
+            held: list[int] = []
             for text in b.column(0).to_pylist():
                 n += 1
-                found = place.keys() & set(words_of(text))
-                for w in found:
-                    df[place[w]] += 1
+                held += [i for i in map(get, set(words_of(text))) if i is not None]
+            df += np.bincount(held, minlength=len(df)) if held else 0
         keys = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*keys.tolist(), -1], pa.int64()), pa.array([*df[keys].tolist(), n], pa.int64())], names=["term", "n"])
 
@@ -191,6 +236,17 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarr
     return np.asarray([got.get(i, 0) for i in range(len(terms))], np.float64), got.get(-1, 0)
 
 
+def contrast(held: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Log-likelihood ratio of words that ``held`` examples hold, ``toxic`` of them with label 1, among n0 and n1 examples."""
+    t, c = np.asarray(toxic, np.float64), np.asarray(held, np.float64) - toxic
+    rate = (t + c) / (n0 + n1)
+
+    def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+
+    return np.maximum(0.0, 2 * (part(t, rate * n1) + part(c, rate * n0) + part(n1 - t, (1 - rate) * n1) + part(n0 - c, (1 - rate) * n0)))
+
+
 def train_toxicity_index(docs: DataFrame, labels: DataFrame, learn) -> BlockMaxIndex:
     """Build the index from the labelled documents where ``learn`` (a condition on doc_id) holds.
 
@@ -201,7 +257,7 @@ def train_toxicity_index(docs: DataFrame, labels: DataFrame, learn) -> BlockMaxI
     kept: list[tuple[int, int]] = []
     for r in sorted(examples.select("doc_id", "toxic", "sketch").collect(), key=lambda r: (r["doc_id"], r["sketch"])):
         keys = {(r["toxic"], k, x) for k, x in enumerate(r["sketch"])}
-        if not keys & seen:  # near copies of an example would make their own words look significant
+        if not keys & seen:  # near copies of an example would make their own words look telling
             kept.append((r["doc_id"], r["toxic"]))
         seen |= keys
     ids = {d for d, _ in kept}
@@ -211,34 +267,25 @@ def train_toxicity_index(docs: DataFrame, labels: DataFrame, learn) -> BlockMaxI
     spark = docs.sparkSession
     keep = F.broadcast(spark.createDataFrame(sorted(ids), "long").withColumnRenamed("value", "doc_id"))
     one = examples.join(keep, "doc_id").dropDuplicates(["doc_id"])
-    counts = one.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    n1, n0 = total[1], total[0]
-
-    def part(x, e):
-        return F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-
-    t, c = F.col("t"), F.col("n") - F.col("t")
-    rate = F.col("n") / float(n1 + n0)
-    g = 2 * (part(t, rate * n1) + part(c, rate * n0) + part(n1 - t, (1 - rate) * n1 + 1e-9) + part(n0 - c, (1 - rate) * n0 + 1e-9))
-    words = counts.count()
-    least = max(10.83, NormalDist().inv_cdf(1 - 0.25 / max(2, words)) ** 2)
-    terms = [r["word"].encode() for r in counts.where(F.col("n") >= 3).withColumn("g", g).where(F.col("g") >= least).orderBy(F.desc("g"), "word").limit(MAX_TERMS).collect()]
+    counts = one.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).orderBy("word").collect()
+    terms = [r["word"].encode() for r in counts]  # the words of a bounded number of texts
     df, n = _document_frequencies(docs, terms)
-    idf = np.log((n + 1) / (df + 1)) + 1
-    index = BlockMaxIndex(terms, idf, [], [], [])
+    telling = contrast(np.asarray([r["n"] for r in counts]), np.asarray([r["t"] for r in counts]), total[0], total[1])
+    weight = (np.log((n + 1) / (df + 1)) + 1) * np.maximum(telling, LEAST_CONTRAST) ** 2
+    index = BlockMaxIndex(terms, weight, [], [], [])
     texts = labelled_sample(docs, labels, learn).join(keep, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vs = [index.vector(words_of(t)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(v) for v in vs], pa.list_(pa.int64())), pa.array([list(v.values()) for v in vs], pa.list_(pa.float64()))], names=["doc_id", "toxic", "t", "w"])
+            vs = [index.arrays(words_of(t)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in vs], pa.list_(pa.int64())), pa.array([w for _, w in vs], pa.list_(pa.float64()))], names=["doc_id", "toxic", "t", "w"])
 
     rows = sorted(texts.mapInArrow(run, "doc_id long, toxic int, t array<long>, w array<double>").collect())
     vectors = [dict(zip(r["t"], r["w"], strict=True)) for r in rows]
-    # neighbours in the index hold the same terms, so that block maxima differ between blocks
-    order = sorted(range(len(rows)), key=lambda i: (sorted(vectors[i], key=lambda t: -vectors[i][t])[:3], rows[i]["doc_id"]))
+    # neighbours in the index hold the same heavy terms, so that block maxima differ between blocks
+    order = sorted(range(len(rows)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t))[:3], rows[i]["doc_id"]))
     vectors = [vectors[i] for i in order]
-    return BlockMaxIndex(terms, idf, vectors, [rows[i]["toxic"] for i in order], [rows[i]["doc_id"] for i in order]).calibrate(vectors)
+    return BlockMaxIndex(terms, weight, vectors, [rows[i]["toxic"] for i in order], [rows[i]["doc_id"] for i in order]).calibrate(vectors)
 
 
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex, text: str = "text", score: str = "toxicity", evidence: str | None = "evidence") -> DataFrame:

@@ -398,6 +398,44 @@ def test_block_max_search_is_exact():
         assert np.allclose([s for s, _ in got], [s for s, _ in brute])
 
 
+def test_scores_equal_a_brute_force_reference(spark):
+    """Weights, vectors, cosines and votes from the texts and labels alone."""
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    index = toxicity.train_toxicity_index(docs, labels, common.crc_mod("doc_id", 5) != 0)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    words_of = {d: collections.Counter(re.findall(rb"[a-z\x80-\xff]+", (t or "").encode().lower())) for d, t in text.items()}
+    examples = index.ids.tolist()
+    assert len(examples) > 20 and all(zlib.crc32(str(d).encode()) % 5 for d in examples) and index.labels.tolist() == [toxic[d] for d in examples]
+    n1, n0 = sum(toxic[d] for d in examples), sum(1 - toxic[d] for d in examples)
+    weight = {}
+    for w in {w for d in examples for w in words_of[d]}:
+        t, c = sum(w in words_of[d] for d in examples if toxic[d]), sum(w in words_of[d] for d in examples if not toxic[d])
+        table = [(t, n1), (c, n0), (n1 - t, n1), (n0 - c, n0)]
+        share = [(t + c) / (n0 + n1)] * 2 + [1 - (t + c) / (n0 + n1)] * 2
+        g = 2 * sum(x * math.log(x / (r * n)) for (x, n), r in zip(table, share, strict=True) if x)
+        idf = math.log((len(text) + 1) / (sum(w in ws for ws in words_of.values()) + 1)) + 1
+        weight[w] = idf * max(g, 1e-3) ** 2
+    assert np.allclose([weight[t] for t in index.terms], index.weight, rtol=1e-6)
+
+    def unit(d):
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in words_of[d].items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {d: unit(d) for d in examples}
+    for d in list(text)[:80]:
+        q = unit(d)
+        near = sorted(((sum(x * vectors[e].get(w, 0) for w, x in q.items()), -k) for k, e in enumerate(examples)), reverse=True)[: toxicity.NEIGHBOURS]
+        near = [(c, -k) for c, k in near if c > 0]
+        got = index.nearest(index.vector(toxicity.words_of(text[d])), toxicity.NEIGHBOURS)
+        assert np.allclose([c for c, _ in got], [c for c, _ in near], atol=1e-9)
+        if near:
+            votes = [1 / (1 - min(1, c) + 0.05) for c, _ in got]
+            raw = (sum(v * toxic[examples[k]] for v, (_, k) in zip(votes, got, strict=True)) + index.prior) / (sum(votes) + 1)
+            assert abs(raw - index.vote(index.vector(toxicity.words_of(text[d])))[0]) < 1e-9
+
+
 # -- 5: WARC ----------------------------------------------------------------------------------------------------------
 
 
