@@ -23,6 +23,7 @@ from sectora.llm.toxicity import THRESHOLD, score_toxicity, train_toxicity_index
 
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
+SURE = 0.1
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -40,11 +41,19 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null, empty or without a letter."""
+    """Drops documents without a language: null, empty or without a letter, and those that the network
+    takes for no learned language: its best score is hardly above chance (SURE of the way to certainty).
+
+    Where no row names a language, only the letter counts.
+    """
     small_batches(spark)
     model = train_language_model(docs, crc_mod("doc_id", 3) != 1)
+    if not model.classes:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    chance = 1 / len(model.classes)
     pred, score = _free(docs, "lang_pred"), _free(docs, "lang_score")
-    return identify_language(docs, model, pred=pred, score=score).where(F.col(pred) != UNDETERMINED).select(*docs.columns)
+    known = (F.col(pred) != UNDETERMINED) & (F.col(score) >= chance + SURE * (1 - chance))
+    return identify_language(docs, model, pred=pred, score=score).where(known).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +65,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates, once if its row is repeated."""
+    """Keeps the smallest doc_id of each group of near duplicates, once if its row is repeated.
+
+    Rows that share a doc_id but not a text are judged one by one.
+    """
     small_batches(spark)
-    groups = written(jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT).select("doc_id", "component_id"), "groups")
-    kept = _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
+    groups = written(jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT, with_hash=True), "groups")
+    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    mark = _free(docs, "text_hash")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    kept = marked.join(gone, (marked["doc_id"] == gone["gone_id"]) & (marked[mark] == gone["gone_hash"]), "left_anti").select(*docs.columns)
     repeated = written(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "again")
     if not repeated.limit(1).count():
         return kept
@@ -86,7 +101,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The stages learn, search and tokenise: no SQL states them; tests compare them with brute force.
+#: The stages learn, search and tokenise: no SQL states them; tests compare them, stage by stage, with brute force.
 ORACLE_SQL = None
 
 

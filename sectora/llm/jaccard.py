@@ -178,6 +178,11 @@ def _batch(names: list[str], *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
 
 
+def text_hash():
+    """The column text_hash of rows with a text."""
+    return F.xxhash64("text").alias("text_hash")
+
+
 def _set_rows(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,9 +191,9 @@ def _set_rows(docs: DataFrame, words: int) -> DataFrame:
                 for g in ngram_sets(b.column(1).slice(s, 1000).to_pylist(), words):
                     ids.append(set_id(g))
                     ns.append(len(g))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(ns, pa.int64())], names=["doc_id", "set_id", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.int64()), pa.array(ns, pa.int64())], names=["doc_id", "text_hash", "set_id", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, n long")
+    return docs.select("doc_id", "text", text_hash()).mapInArrow(run, "doc_id long, text_hash long, set_id long, n long")
 
 
 def _runs(key: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -371,7 +376,7 @@ def _components(ordered: DataFrame, percent: int) -> DataFrame:
     return named.union(moved.join(parts, moved.old == parts.node, "left_anti").select("old", "new"))
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, with_hash: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row of ``docs`` (doc_id, text).
 
     ``n_shingles`` is the number of distinct word n-grams; ``component_id`` the
@@ -379,7 +384,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     ``percent`` a whole number from 1 to 100, exact for each).  Null, empty and
     blank texts have no n-gram and link with nothing: their component is their own
     id, as it is for a null doc_id.  Repeated rows are copies of each other.
-    Other columns of ``docs`` are ignored.
+    Other columns of ``docs`` are ignored.  ``with_hash`` adds text_hash, which
+    tells rows of one doc_id and unlike texts apart.
     """
     if percent != int(percent) or not 1 <= percent <= 100:
         raise ValueError("percent must be a whole number from 1 to 100")
@@ -396,7 +402,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     lowest = labels.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = written(labels.join(lowest, "c").select("set_id", "component_id"), "jaccard-names")
     out = sets.withColumn("k", F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.col("set_id")))
-    return out.join(named, out.k == named.set_id, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    extra = ["text_hash"] if with_hash else []
+    return out.join(named, out.k == named.set_id, "left").select("doc_id", *extra, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def oracle_sql(words: int = WORDS, percent: int = PERCENT) -> str:

@@ -104,7 +104,7 @@ class BlockMaxIndex:
         np.maximum.at(self.top, place[first] // max(1, self.blocks), self.peak)
         blank = sizes == 0
         # a text without an index term is as near to every example without one: their labels, with one vote of the prior
-        prior = (self.labels.sum() + 1) / (len(ids) + 2)
+        prior = (self.labels.sum() + 1) / (len(ids) + 4)  # a quarter where nothing is known
         self.prior = prior
         self.blank = float((self.labels[blank].sum() + prior) / (blank.sum() + 1))
         self.slope, self.offset = 1.0, 0.0

@@ -48,3 +48,35 @@ def test_stages_decide_and_keep_columns(spark, folder):
             assert sorted(i for i in ids if i is not None) == sorted(expect) and 2000 in expect and 2001 not in expect
         if name == "decontamination":
             assert 2004 not in ids and 2000 in ids
+
+
+def test_rows_of_one_id_and_unlike_texts_are_judged_one_by_one(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, c), (3, c), (4, None), (4, None)], "doc_id long, text string").withColumnRenamed("doc_id", "doc_id")
+    kept = corpus_pipeline.near_duplicates(spark, docs.selectExpr("doc_id", "text", "1 AS text_hash"), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, a), (2, b), (3, c), (4, None)], key=repr) and len(kept[0]) == 3
+
+
+def test_the_network_decides(spark, monkeypatch):
+    texts = [("en", "the cat and the dog went to the house of the man"), ("de", "der Hund und die Katze gingen in das Haus des Mannes")]
+    rows = [(i, f"{texts[i % 2][1]} {i}", texts[i % 2][0]) for i in range(300)] + [(1000, "9 qzxj 8", None), (1001, "12 34", None), (1002, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = lambda: {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert ids() >= set(range(300)) and not {1001, 1002} & ids()
+    monkeypatch.setattr(corpus_pipeline, "SURE", 1.1)  # nothing is that sure
+    assert not ids()
+    nameless = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, nameless, "").collect()} == {*range(300), 1000}
+
+
+def test_empty_tables_pass_through(spark, folder, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 20")
+    docs.write.parquet(str(tmp_path / "some/documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).write.parquet(str(tmp_path / f"some/{name}.parquet"))
+    kept = corpus_pipeline.run(spark, str(tmp_path / "some"))
+    assert {r.doc_id for r in kept.collect()} <= set(range(20)) and kept.count() > 0
