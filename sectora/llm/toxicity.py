@@ -13,18 +13,20 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-LEARN_TOXIC = 2000  # bound: labelled examples with label 1
-LEARN_CLEAN = 3000  # bound: labelled examples with label 0
+LEARN_TOXIC = 1500  # bound: labelled examples with label 1
+LEARN_CLEAN = 2500  # bound: labelled examples with label 0
 NEIGHBOURS = 15
 BLOCK = 64  # examples per posting block
 SHARES = (0.05, 0.01, 0.0)  # of a query's weight that may be open when candidates are looked at
@@ -79,20 +81,40 @@ def _slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+_LOADED: dict[str, BlockMaxIndex] = {}
+
+
+def _restored(key: str, terms: bytes, *rest) -> BlockMaxIndex:
+    """An index that came to a worker: its postings are made there, once for all tasks."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        *arrays, slope, offset = rest
+        index = BlockMaxIndex(terms.split(b" ") if terms else [], *arrays)
+        index.slope, index.offset, index.key = slope, offset, key
+        _LOADED[key] = index
+    return _LOADED[key]
+
+
 class BlockMaxIndex:
-    """Unit vectors of the examples, by example and as postings, in blocks of examples with the largest weight of each term."""
+    """Unit vectors of the examples, by example and as postings, in blocks of examples with the largest weight of each term.
+
+    ``vectors`` are dicts from term number to weight, or three arrays: the first entry
+    of each example (and the end), terms and weights of the entries.
+    """
 
-    def __init__(self, terms: list[bytes], weight: np.ndarray, vectors: list[dict[int, float]], labels: list[int], ids: list[int]):
+    def __init__(self, terms: list[bytes], weight: np.ndarray, vectors, labels: list[int], ids: list[int]):
         self.terms = {t: i for i, t in enumerate(terms)}
         self.weight, self.labels, self.ids = np.asarray(weight, np.float64), np.asarray(labels, np.float64), np.asarray(ids, np.int64)
-        self.blocks = -(-len(ids) // BLOCK)
-        sizes = np.asarray([len(v) for v in vectors], np.int64)
-        self.rows = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)  # first entry of each example
-        self.entry_term = np.fromiter((t for v in vectors for t in v), np.int32, self.rows[-1])
-        self.entry_weight = np.fromiter((w for v in vectors for w in v.values()), np.float64, self.rows[-1])
-        example = np.repeat(np.arange(len(vectors)), sizes)
+        self.blocks = -(-len(self.ids) // BLOCK)
+        if not isinstance(vectors, tuple):
+            ends = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype(np.int64)
+            vectors = ends, np.fromiter((t for v in vectors for t in v), np.int32, ends[-1]), np.fromiter((w for v in vectors for w in v.values()), np.float64, ends[-1])
+        self.rows, self.entry_term, self.entry_weight = vectors
+        self.key = uuid.uuid4().hex
+        sizes = np.diff(self.rows)
+        example = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         order = np.argsort(self.entry_term, kind="stable")
-        self.posting_example, self.posting_weight = example[order].astype(np.int32), self.entry_weight[order]
+        self.posting_example, self.posting_weight = example[order], self.entry_weight[order]
         self.postings = np.searchsorted(self.entry_term[order], np.arange(len(terms) + 1))
         # the largest weight of each term in each block that holds it
         place = self.entry_term[order].astype(np.int64) * max(1, self.blocks) + self.posting_example // BLOCK
@@ -104,12 +126,19 @@ class BlockMaxIndex:
         np.maximum.at(self.top, place[first] // max(1, self.blocks), self.peak)
         blank = sizes == 0
         # a text without an index term is as near to every example without one: their labels, with one vote of the prior
-        prior = (self.labels.sum() + 1) / (len(ids) + 4)  # a quarter where nothing is known
+        prior = (self.labels.sum() + 1) / (len(self.ids) + 4)  # a quarter where nothing is known
         self.prior = prior
         self.blank = float((self.labels[blank].sum() + prior) / (blank.sum() + 1))
         self.slope, self.offset = 1.0, 0.0
         self.query = np.zeros(len(terms))  # scratch: weights of the query at hand
 
+    def __reduce__(self):
+        return _restored, (self.key, b" ".join(self.terms), self.weight, (self.rows, self.entry_term, self.entry_weight), self.labels, self.ids, self.slope, self.offset)
+
+    def example(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of an example."""
+        return self.entry_term[self.rows[n] : self.rows[n + 1]], self.entry_weight[self.rows[n] : self.rows[n + 1]]
+
     def arrays(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Index terms of a text and their weights in its unit vector."""
         found = np.fromiter(map(self.terms.get, words, itertools.repeat(-1)), np.int64, len(words))
@@ -187,9 +216,9 @@ class BlockMaxIndex:
         y = self.labels[[n for _, n in near]]
         return float((w @ y + self.prior) / (w.sum() + 1)), near
 
-    def calibrate(self, vectors: list[dict[int, float]]) -> BlockMaxIndex:
+    def calibrate(self) -> BlockMaxIndex:
         """Platt scaling on leave-one-out votes of the examples that hold an index term."""
-        pairs = [(self.vote(v, n)[0], self.labels[n]) for n, v in enumerate(vectors) if v]
+        pairs = [(self.vote(self.example(n), n)[0], self.labels[n]) for n in np.flatnonzero(np.diff(self.rows)).tolist()]
         if len(pairs) >= 20 and 0 < sum(y for _, y in pairs) < len(pairs):
             x = np.asarray([math.log(p / (1 - p)) for p, _ in ((min(max(p, 1e-4), 1 - 1e-4), y) for p, y in pairs)])
             y = np.asarray([y for _, y in pairs])
@@ -216,24 +245,26 @@ class BlockMaxIndex:
         return raw, [(int(self.ids[n]), float(s)) for s, n in near]
 
 
-def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
+def _document_frequencies(docs: DataFrame, index: BlockMaxIndex) -> tuple[np.ndarray, int]:
     """How many of all documents hold each index term, and how many documents there are."""
-    place = {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(place), np.int64), 0
-        get = place.get
+        df, n = np.zeros(len(index.terms), np.int64), 0
+        get = index.terms.get
         for b in batches:
             held: list[int] = []
-            for text in b.column(0).to_pylist():
+            for text in b.column(0):
                 n += 1
-                held += [i for i in map(get, set(words_of(text))) if i is not None]
+                held += [i for i in map(get, set(words_of(text.as_py()))) if i is not None]
             df += np.bincount(held, minlength=len(df)) if held else 0
         keys = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*keys.tolist(), -1], pa.int64()), pa.array([*df[keys].tolist(), n], pa.int64())], names=["term", "n"])
 
-    got = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return np.asarray([got.get(i, 0) for i in range(len(terms))], np.float64), got.get(-1, 0)
+    got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    terms, n = (c.to_numpy() for c in got.columns)
+    out = np.zeros(len(index.terms))
+    out[terms[terms >= 0]] = n[terms >= 0]
+    return out, int(n[terms < 0].sum())
 
 
 def contrast(held: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
@@ -267,25 +298,35 @@ def train_toxicity_index(docs: DataFrame, labels: DataFrame, learn) -> BlockMaxI
     spark = docs.sparkSession
     keep = F.broadcast(spark.createDataFrame(sorted(ids), "long").withColumnRenamed("value", "doc_id"))
     one = examples.join(keep, "doc_id").dropDuplicates(["doc_id"])
-    counts = one.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).orderBy("word").collect()
-    terms = [r["word"].encode() for r in counts]  # the words of a bounded number of texts
-    df, n = _document_frequencies(docs, terms)
-    telling = contrast(np.asarray([r["n"] for r in counts]), np.asarray([r["t"] for r in counts]), total[0], total[1])
+    counts = one.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).orderBy("word").toArrow()
+    terms = [w.encode() for w in counts.column("word").to_pylist()]  # the words of a bounded number of texts
+    index = BlockMaxIndex(terms, np.ones(len(terms)), [], [], [])
+    df, n = _document_frequencies(docs, index)
+    telling = contrast(counts.column("n").to_numpy(), counts.column("t").to_numpy(), total[0], total[1])
     weight = (np.log((n + 1) / (df + 1)) + 1) * np.maximum(telling, LEAST_CONTRAST) ** 2
     index = BlockMaxIndex(terms, weight, [], [], [])
     texts = labelled_sample(docs, labels, learn).join(keep, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vs = [index.arrays(words_of(t)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in vs], pa.list_(pa.int64())), pa.array([w for _, w in vs], pa.list_(pa.float64()))], names=["doc_id", "toxic", "t", "w"])
+            vs = [index.arrays(words_of(t.as_py())) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t.astype(np.int32) for t, _ in vs], pa.list_(pa.int32())), pa.array([w for _, w in vs], pa.list_(pa.float64()))], names=["doc_id", "toxic", "t", "w"])
+
+    rows = texts.mapInArrow(run, "doc_id long, toxic int, t array<int>, w array<double>").toArrow().combine_chunks()
+    sizes = pc.list_value_length(rows.column("t")).combine_chunks().to_numpy()
+    entry_terms, entry_weights = (pc.list_flatten(rows.column(c)).combine_chunks().to_numpy() for c in ("t", "w"))
+    first = np.cumsum(sizes) - sizes
+    ids, labels_of = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
+
+    def heavy(i: int) -> list[int]:
+        t, w = entry_terms[first[i] : first[i] + sizes[i]], entry_weights[first[i] : first[i] + sizes[i]]
+        return t[np.lexsort((t, -w))[:3]].tolist()
 
-    rows = sorted(texts.mapInArrow(run, "doc_id long, toxic int, t array<long>, w array<double>").collect())
-    vectors = [dict(zip(r["t"], r["w"], strict=True)) for r in rows]
     # neighbours in the index hold the same heavy terms, so that block maxima differ between blocks
-    order = sorted(range(len(rows)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t))[:3], rows[i]["doc_id"]))
-    vectors = [vectors[i] for i in order]
-    return BlockMaxIndex(terms, weight, vectors, [rows[i]["toxic"] for i in order], [rows[i]["doc_id"] for i in order]).calibrate(vectors)
+    order = np.asarray(sorted(range(len(ids)), key=lambda i: (heavy(i), ids[i])), np.int64)
+    at = _slices(first[order], sizes[order])
+    vectors = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64), entry_terms[at].astype(np.int32), entry_weights[at]
+    return BlockMaxIndex(terms, weight, vectors, labels_of[order], ids[order]).calibrate()
 
 
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex, text: str = "text", score: str = "toxicity", evidence: str | None = "evidence") -> DataFrame:
