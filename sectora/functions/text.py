@@ -120,17 +120,6 @@ def is_hidden_style(c: Column) -> Column:
     return F.coalesce(c.rlike(HIDDEN_STYLE), F.lit(False))
 
 
-def is_hidden_element(attrs: Column) -> Column:
-    """From a map of attributes: ``hidden`` in any case, aria-hidden true or 1, or a hiding style."""
-    aria = F.lower(strip(F.coalesce(F.try_element_at(attrs, F.lit("aria-hidden")), F.lit(""))))
-    named = F.exists(F.map_keys(attrs), lambda k: F.lower(k) == "hidden")
-    return F.coalesce(named, F.lit(False)) | aria.isin("true", "1") | is_hidden_style(F.try_element_at(attrs, F.lit("style")))
-
-
-def normalize_whitespace(c: Column) -> Column:
-    """Tabs to spaces, one kind of line end, runs collapsed, no space around line ends; in this order."""
-    t = F.replace(F.replace(F.replace(c, F.lit("\t"), F.lit(" ")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, " +", " "), "\n{3,}", "\n\n"), " *\n *", "\n"))
 
 
 #: Element renames and elements whose tags are dropped.
@@ -151,25 +140,8 @@ def unwrap_dead_links(c: Column) -> Column:
     return F.regexp_replace(c, r"""(?is)<a\b[^>]*href=["'](?:\s*|javascript:[^"']*)["'][^>]*>(.*?)</a>""", "$1")
 
 
-def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, "<[^>]+>", "")
-
-
-def blockquote(c: Column) -> Column:
-    return F.concat(F.lit("\n\n> "), F.replace(strip(c), F.lit("\n"), F.lit("\n> ")), F.lit("\n\n"))
-
-
-def normalize_markdown(c: Column) -> Column:
-    """One kind of line end, at most one blank line, line ends bare or with exactly two spaces, ends stripped."""
-    t = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "\n{3,}", "\n\n")
-    lines = F.transform(F.split(t, "\n"), lambda x: F.concat(F.regexp_replace(x, WS + r"+\z", ""), F.when(x.endswith("  "), "  ").otherwise("")))
-    return strip(F.array_join(lines, "\n"))
 
 
-def safe_href(c: Column) -> Column:
-    """The trimmed target, or null if it is empty or would run a script."""
-    t = strip(c)
-    return F.when(~t.rlike("(?i)^(?:javascript|data|vbscript):") & (t != ""), t)
 
 
 def escape_block(c: Column) -> Column:

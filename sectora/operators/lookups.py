@@ -57,20 +57,24 @@ def concat_parts(files: DataFrame) -> DataFrame:
 
 
 def fact_rows(facts: DataFrame) -> DataFrame:
-    """(cik, taxonomy, concept, unit, accession, period, value, form, frame) from (cik, json).
+    """(cik, taxonomy, concept, unit, accession, period, value, form, frame, typed, place) from (cik, json).
 
     Levels that are not objects are skipped one by one, as the maps are read level by level.
+    ``value`` is the fact's value as text, ``typed`` the JSON value itself; ``place`` is the
+    position in the document, level by level.
     """
 
     def level(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        return df.select(*keys, F.explode(F.from_json("json", "map<string,string>")).alias(name, "json"))
+        rows = df.select(*keys, "place", F.posexplode(F.from_json("json", "map<string,string>")).alias("n", name, "json"))
+        return rows.select(*keys, name, F.array_append("place", F.col("n")).alias("place"), "json")
 
-    top = facts.select("cik", F.get_json_object("json", "$.facts").alias("json"))
+    top = facts.select("cik", F.array().cast("array<int>").alias("place"), F.get_json_object("json", "$.facts").alias("json"))
     concepts = level(level(top, ["cik"], "taxonomy"), ["cik", "taxonomy"], "concept")
-    units = level(concepts.select("cik", "taxonomy", "concept", F.get_json_object("json", "$.units").alias("json")), ["cik", "taxonomy", "concept"], "unit")
-    values = units.select("cik", "taxonomy", "concept", "unit", F.explode(F.from_json("json", "array<string>")).alias("v"))
-    f = values.select("cik", "taxonomy", "concept", "unit", F.from_json("v", FACT).alias("f"))
-    return f.where("f IS NOT NULL").select("cik", "taxonomy", "concept", "unit", F.coalesce("f.accn", F.lit("")).alias("accession"), text.period(F.col("f.start"), F.col("f.end")).alias("period"), F.col("f.val").alias("value"), F.col("f.form").alias("form"), F.col("f.frame").alias("frame"))
+    units = level(concepts.select("cik", "taxonomy", "concept", "place", F.get_json_object("json", "$.units").alias("json")), ["cik", "taxonomy", "concept"], "unit")
+    values = units.select("cik", "taxonomy", "concept", "unit", "place", F.posexplode(F.from_json("json", "array<string>")).alias("n", "v"))
+    typed = F.try_variant_get(F.try_parse_json("v"), "$.val", "variant")
+    f = values.select("cik", "taxonomy", "concept", "unit", F.array_append("place", F.col("n")).alias("place"), typed.alias("typed"), F.from_json("v", FACT).alias("f"))
+    return f.where("f IS NOT NULL").select("cik", "taxonomy", "concept", "unit", F.coalesce("f.accn", F.lit("")).alias("accession"), text.period(F.col("f.start"), F.col("f.end")).alias("period"), F.col("f.val").alias("value"), F.col("f.form").alias("form"), F.col("f.frame").alias("frame"), "typed", "place")
 
 
 def facts_of(rows: DataFrame, accession: str) -> DataFrame:
@@ -79,11 +83,14 @@ def facts_of(rows: DataFrame, accession: str) -> DataFrame:
 
 
 def nested_facts(rows: DataFrame) -> DataFrame:
-    """(cik, facts): taxonomy to concept to list of facts; empty groups do not occur."""
-    fact = F.struct("period", "value", "unit", "form", "frame")
-    by_concept = rows.groupBy("cik", "taxonomy", "concept").agg(F.array_sort(F.collect_list(fact)).alias("facts"))
-    by_taxonomy = by_concept.groupBy("cik", "taxonomy").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("concept", "facts")))).alias("concepts"))
-    return by_taxonomy.groupBy("cik").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("taxonomy", "concepts")), lambda a, b: F.when(a["taxonomy"] < b["taxonomy"], -1).otherwise(1))).alias("facts"))
+    """(cik, facts): taxonomy to concept to list of facts with typed values, in the order of the document; empty groups do not occur."""
+    earlier = lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)
+    fact = F.struct("period", F.col("typed").alias("value"), "unit", "form", "frame")
+    in_order = lambda x: F.array_sort(F.collect_list(F.struct("place", x.alias("x"))), earlier)
+    by_concept = rows.groupBy("cik", "taxonomy", "concept").agg(F.transform(in_order(fact), lambda p: p["x"]).alias("facts"), F.min("place").alias("place"))
+    entry = lambda name, value: F.map_from_entries(F.transform(in_order(F.struct(name, value)), lambda p: p["x"]))
+    by_taxonomy = by_concept.groupBy("cik", "taxonomy").agg(entry("concept", "facts").alias("concepts"), F.min("place").alias("place"))
+    return by_taxonomy.groupBy("cik").agg(entry("taxonomy", "concepts").alias("facts"))
 
 
 def pending(requests: DataFrame, manifests: DataFrame) -> DataFrame:

@@ -1,71 +1,53 @@
-"""Packs and site pages as files below a folder that all executors share."""
+"""Packs and site pages as files below a folder that all executors reach."""
 
 from __future__ import annotations
 
-import json
+import posixpath
 from collections.abc import Iterator
-from datetime import date, datetime
-from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pack import KEY, Packs
 
+def _opened(root: str):
+    """The file system and the path of a folder: a local or mounted path, or a URI that Arrow knows (hdfs, s3, gs, abfs)."""
+    from pyarrow import fs
 
-def _json_value(v):
-    if isinstance(v, datetime):
-        return v.strftime("%Y-%m-%dT%H:%M:%SZ")
-    return v.isoformat() if isinstance(v, date) else str(v)
-
-
-def manifest_text(manifest: dict) -> str:
-    """Two-space indent, sorted keys, plain unicode, a line end."""
-    return json.dumps(manifest, indent=2, sort_keys=True, ensure_ascii=False, default=_json_value) + "\n"
-
-
-def facts_text(facts: str) -> str:
-    """Two-space indent, sorted keys, ASCII, no line end."""
-    return json.dumps(json.loads(facts), indent=2, sort_keys=True)
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
 
 
 def write_files(files: DataFrame, root: str) -> DataFrame:
     """Write (path, content) rows below ``root`` and return (path, bytes); a rerun of a task writes the same bytes again."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _opened(root)
+        for b in batches:
             sizes = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                target = Path(root, path)
-                target.parent.mkdir(parents=True, exist_ok=True)
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                target = posixpath.join(top, path)
+                store.create_dir(posixpath.dirname(target), recursive=True)
                 data = content.encode("utf-8")
-                target.write_bytes(data)
+                with store.open_output_stream(target) as out:
+                    out.write(data)
                 sizes.append(len(data))
-            yield pd.DataFrame({"path": frame["path"], "bytes": sizes})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, bytes long")
 
-    return files.select("path", "content").mapInPandas(run, "path string, bytes long")
 
+def remove_folders(folders: DataFrame, root: str) -> int:
+    """Delete the folders (one column) below ``root`` that exist; returns how many there were."""
 
-def pack_files(packs: Packs) -> DataFrame:
-    """(path, content) of all files of the packs: ``{cik}/{accession}/...``."""
-    folder = F.concat_ws("/", *KEY)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    def file(df: DataFrame, name, content) -> DataFrame:
-        return df.where(content.isNotNull()).select(F.concat_ws("/", folder, name).alias("path"), content.alias("content"))
+        store, top = _opened(root)
+        for b in batches:
+            paths = [posixpath.join(top, p) for p in b.column(0).to_pylist()]
+            there = [p for p in paths if store.get_file_info(p).type == fs.FileType.Directory]
+            for p in there:
+                store.delete_dir(p)
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.string())], names=["path"])
 
-    to_manifest = F.udf(lambda m: manifest_text(m.asDict(recursive=True)), "string")
-    to_facts = F.udf(facts_text, "string")
-    m = packs.manifests
-    parts = [
-        file(packs.filings, F.lit("filing.full.md"), F.col("markdown")),
-        file(packs.sections, F.concat(F.lit("sections/"), F.col("id"), F.lit(".md")), F.col("content")),
-        file(m, F.lit("llms.txt"), F.col("llms")),
-        file(m, F.lit("optional/chunks.ndjson"), F.col("chunks")),
-        file(m, F.lit("optional/xbrl.json"), F.when(F.col("facts").isNotNull(), to_facts("facts"))),
-        file(m, F.lit("manifest.json"), to_manifest("manifest")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return folders.mapInArrow(run, "path string").agg(F.count("*")).first()[0]

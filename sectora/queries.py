@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html, text
-from .operators import chunks, lookups, sections
+from .operators import chunks, headings, lookups, sections
 from .plans import pack, site
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def query(sql: str | None = None):
     return add
 
 
+def each(df: DataFrame, key: str, values, name: str = "h") -> DataFrame:
+    """The elements of an array per row; an outer generator, so that no filter is inferred that would run a Python function twice."""
+    return df.select(key, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -42,8 +47,7 @@ def s06_cache_misses(spark, d):
     pages = table(spark, d, "pages")
     cache = pages.where("page_id % 3 = 0").select("url", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60).alias("cached_at"))
     now = F.timestamp_seconds(F.lit(1704067200 + 3000 + 86400))
-    fresh = cache.where(F.unix_timestamp(now) - F.unix_timestamp("cached_at") <= 86400)
-    return lookups.cache_misses(pages.select("url").distinct(), fresh, "2024-01-01 00:00:00", None)
+    return lookups.cache_misses(pages.select("url").distinct(), cache, now, 86400)
 
 
 @query("SELECT doc_id, text AS decoded FROM documents")
@@ -78,7 +82,12 @@ def h02_has_ixbrl(spark, d):
     return table(spark, d, "documents").select("doc_id", text.has_ixbrl(t).alias("ixbrl"))
 
 
-@query()
+_CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|<!--.*?-->|<!doctype[^>]*>|<meta[^>]*>', '', 'g'), ' class="[^"]*"', '', 'g'),
+  '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(9), ' '), chr(13) || chr(10), chr(10)), ' +', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' *\n *', chr(10), 'g'), ' ' || chr(10))"""
+
+
+@query(f"SELECT page_id, {_CLEAN_SQL} AS cleaned FROM pages")
 def h03_clean_html(spark, d):
     return table(spark, d, "pages").select("page_id", html.clean_html(F.col("html")).alias("cleaned"))
 
@@ -95,14 +104,14 @@ def h04_hidden_style(spark, d):
 @query("SELECT p_partkey, p_partkey % 4 <> 3 AS hidden FROM part")
 def h05_hidden_element(spark, d):
     attrs = F.expr("CASE p_partkey % 4 WHEN 0 THEN map('HIDDEN', '') WHEN 1 THEN map('aria-hidden', ' TRUE ') WHEN 2 THEN map('style', 'width:0') ELSE map('style', 'width:10px', 'aria-hidden', 'false') END")
-    return table(spark, d, "part").select("p_partkey", text.is_hidden_element(attrs).alias("hidden"))
+    return table(spark, d, "part").select("p_partkey", html.is_hidden_element(attrs).alias("hidden"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, ' +', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' *\\n *', chr(10), 'g'), ' ' || chr(10)) AS t FROM (SELECT doc_id, replace(replace(text, '. ', '.' || chr(10) || chr(10) || ' ' || chr(10) || chr(10) || chr(10) || '  '), ', ', ',   ') AS t FROM documents)")
 def h07_normalize_ws(spark, d):
     t = F.expr(r"replace(replace(text, '. ', '.\r\n\n \r\n\n  '), ', ', ',\t  ')")
     t2 = F.replace(t, F.lit(".\r\n\n \r\n\n  "), F.lit(".\n\n \n\n\n  "))
-    return table(spark, d, "documents").select("doc_id", text.normalize_whitespace(t2).alias("t"))
+    return table(spark, d, "documents").select("doc_id", html.normalize_whitespace(t2).alias("t"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(
@@ -113,7 +122,7 @@ def h08_extract_text(spark, d):
     return table(spark, d, "pages").select("page_id", html.extract_text(F.col("html")).alias("visible"))
 
 
-@query()
+@query(f"SELECT page_id, replace(replace({_CLEAN_SQL}, '<b>', '<strong>'), '</b>', '</strong>') AS semantic FROM pages")
 def h09_semantic(spark, d):
     simple = text.unwrap_dead_links(html.absolute_links(text.semantic_tags(html.clean_html(F.col("html"))), F.col("url")))
     return table(spark, d, "pages").select("page_id", simple.alias("semantic"))
@@ -131,7 +140,7 @@ def h12_tables(spark, d):
     row = F.struct("n_nationkey", F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td> <td> "), F.col("n_name"), F.lit(" </td></tr>")).alias("h"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["h"]), "")
     tables = table(spark, d, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<p>x<table class='t'><tr><th>key</th><th>name</th></tr>"), rows, F.lit("</table>")).alias("h"))
-    cells = tables.select("n_regionkey", F.explode(html.html_table_cells(F.col("h"))).alias("x"))
+    cells = each(tables, "n_regionkey", html.html_table_cells(F.col("h")), "x")
     return cells.select("n_regionkey", "x.r", "x.c", F.col("x.text").alias("cell"))
 
 
@@ -139,7 +148,7 @@ def h12_tables(spark, d):
 FROM (SELECT doc_id, replace(text, '. ', '.    ' || chr(10) || chr(10) || chr(10) || chr(10) || 'x ' || chr(10)) AS t FROM documents)""")
 def h17_normalize_md(spark, d):
     t = F.expr(r"replace(text, '. ', '.    \r\n\r\n\n\nx \n')")
-    return table(spark, d, "documents").select("doc_id", text.normalize_markdown(t).alias("t"))
+    return table(spark, d, "documents").select("doc_id", html.normalize_markdown(t).alias("t"))
 
 
 @query()
@@ -152,7 +161,7 @@ _HREF = "CASE p_partkey % 6 WHEN 0 THEN ' JavaScript:x' WHEN 1 THEN '' WHEN 2 TH
 
 @query(f"SELECT p_partkey, CASE WHEN p_partkey % 6 IN (3, 5) THEN trim({_HREF}) END AS href FROM part")
 def h21_safe_href(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.safe_href(F.expr(_HREF)).alias("href"))
+    return table(spark, d, "part").select("p_partkey", html.safe_href(F.expr(_HREF)).alias("href"))
 
 
 @query("SELECT p_partkey, replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS t FROM (SELECT p_partkey, p_name || ' <b> & \"' || p_type || '\"' AS t FROM part)")
@@ -173,26 +182,27 @@ def k03_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncate_tokens(F.col("text"), 100).alias("t"))
 
 
-def _chunk_sql(most: int) -> str:
+def _chunk_sql(most: int, source: str = "SELECT doc_id, text FROM documents", shown: str = "SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(a AS INTEGER) AS char_start, CAST(b AS INTEGER) AS char_end, CAST((b - a) // 4 AS BIGINT) AS tokens FROM walk WHERE k >= 0") -> str:
     """Chunk spans in DuckDB: boundaries of each document as a list, walked by a recursive query."""
     h = 4 * most
     return f"""
-WITH RECURSIVE seg AS (
-  SELECT doc_id, regexp_extract_all(text, '(?s).*?[.!?]\\s+') AS s FROM documents),
+WITH RECURSIVE texts AS ({source}),
+seg AS (
+  SELECT doc_id, regexp_extract_all(text, '(?s).*?[.!?]\\s+') AS s FROM texts),
 ends AS (
   SELECT doc_id, CAST(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS b FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM seg)),
 paras AS (
   SELECT doc_id, CAST(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS b
-  FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).*?\\n\\n+') AS p FROM documents))),
+  FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).*?\\n\\n+') AS p FROM texts))),
 bounds AS (
   SELECT d.doc_id, length(d.text) AS n, list_sort(list_distinct(list_append(coalesce(e.l, []), length(d.text)))) AS l
-  FROM documents d LEFT JOIN (SELECT doc_id, list(b) AS l FROM (SELECT * FROM ends UNION ALL SELECT * FROM paras) GROUP BY doc_id) e USING (doc_id)),
+  FROM texts d LEFT JOIN (SELECT doc_id, list(b) AS l FROM (SELECT * FROM ends UNION ALL SELECT * FROM paras) GROUP BY doc_id) e USING (doc_id)),
 walk AS (
   SELECT doc_id, n, l, CAST(-1 AS BIGINT) AS k, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM bounds WHERE n > 0
   UNION ALL
   SELECT doc_id, n, l, k + 1, b, CASE WHEN n - b <= {h + 3} AND k = -1 THEN n ELSE coalesce(list_max(list_filter(l, lambda x: x > b AND x <= b + {h + 3})), least(n, b + {h})) END
   FROM walk WHERE b < n)
-SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(a AS INTEGER) AS char_start, CAST(b AS INTEGER) AS char_end, CAST((b - a) // 4 AS BIGINT) AS tokens FROM walk WHERE k >= 0"""
+{shown}"""
 
 
 def _chunks(spark, d, most) -> DataFrame:
@@ -246,7 +256,7 @@ def g03_section_ids(spark, d):
 @query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, CAST(coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
 FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
 def g05_line_offsets(spark, d):
-    return sections.lines_with_offsets(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "line", "pos")
+    return each(table(spark, d, "documents"), "doc_id", headings.line_offsets(F.col("text")), "x").select("doc_id", "x.line", "x.pos")
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(t) <= 100 THEN t WHEN contains(substr(t, 1, 100), ' ') THEN regexp_replace(substr(t, 1, 100), ' [^ ]*$', '') ELSE substr(t, 1, 100) END AS title
@@ -255,21 +265,33 @@ def g10_titles(spark, d):
     return table(spark, d, "documents").select("doc_id", text.clean_title(F.expr("replace(text, ' the ', ' The2Next ')")).alias("title"))
 
 
-@query("""SELECT l_orderkey, CAST(i - 1 AS INTEGER) AS cell, x AS value FROM (SELECT DISTINCT l_orderkey FROM lineitem), (SELECT unnest([1, 2, 3]) AS i, unnest(['Item 1.', 'a \\| b', '']) AS x)""")
+@query("""SELECT l_orderkey, CAST(i - 1 AS INTEGER) AS cell, x AS value FROM (SELECT DISTINCT l_orderkey FROM lineitem),
+  LATERAL (SELECT unnest([1, 2, 3]) AS i, unnest(['Item ' || CAST(l_orderkey AS VARCHAR) || '.', 'a \\| ' || CAST(l_orderkey % 7 AS VARCHAR), '']) AS x)
+  WHERE i < 3 OR l_orderkey % 2 = 0""")
 def g09_table_cells(spark, d):
-    row = F.lit("| Item 1. | a \\| b |  |")
-    cells = F.transform(F.split(row, r"(?<!\\)\|", -1), text.strip)
-    inner = F.slice(cells, F.lit(2), F.size(cells) - 2)
-    return table(spark, d, "lineitem").select("l_orderkey").distinct().select("l_orderkey", F.posexplode(inner).alias("cell", "value"))
+    row = F.expr(r"'| Item ' || CAST(l_orderkey AS STRING) || '. | a \\| ' || CAST(l_orderkey % 7 AS STRING) || ' |' || CASE WHEN l_orderkey % 2 = 0 THEN '  |' ELSE '' END")
+    return table(spark, d, "lineitem").select("l_orderkey").distinct().select("l_orderkey", F.posexplode(headings.row_cells(row)).alias("cell", "value"))
+
+
+def _body(k: int, div: str = "//") -> str:
+    """A third of a document's text in one line."""
+    third = f"CAST(length(text) {div} 3 AS INTEGER)"
+    piece = f"substr(text, 1, {third})" if k == 0 else f"substr(text, {third} + 1, {third})" if k == 1 else f"substr(text, 2 * {third} + 1)"
+    return f"replace({piece}, chr(10), ' ')"
 
 
-_BODY = "replace(substr(text, {a}, 150), chr(10), ' ')"
 _TOC = "'| Table of Contents | |' || chr(10) || '| --- | --- |' || chr(10) || '| Item 1. | Business |' || chr(10) || chr(10)"
-_MD_10K = (
-    f"{_TOC} || '# PART I' || chr(10) || chr(10) || '## ITEM 1. Business' || chr(10) || {_BODY.format(a=1)} || chr(10) || '## ITEM 1A - Risk Factors' || chr(10) || {_BODY.format(a=151)}"
-    f" || chr(10) || 'PART II' || chr(10) || 'ITEM 7: Discussion and Analysis' || chr(10) || {_BODY.format(a=301)} || chr(10) || 'SIGNATURES' || chr(10) || 'x'"
-)
-_PARTS_SQL = f"""WITH b AS (SELECT doc_id, length({_TOC}) + 10 AS p1, length({_BODY.format(a=1)}) AS l1, length({_BODY.format(a=151)}) AS l2, length({_BODY.format(a=301)}) AS l3, length({_MD_10K}) AS n FROM documents),
+
+
+def _md_10k(div: str = "//") -> str:
+    """A filing that holds the whole text of a document."""
+    return (
+        f"{_TOC} || '# PART I' || chr(10) || chr(10) || '## ITEM 1. Business' || chr(10) || {_body(0, div)} || chr(10) || '## ITEM 1A - Risk Factors' || chr(10) || {_body(1, div)}"
+        f" || chr(10) || 'PART II' || chr(10) || 'ITEM 7: Discussion and Analysis' || chr(10) || {_body(2, div)} || chr(10) || 'SIGNATURES' || chr(10) || 'x'"
+    )
+
+
+_PARTS_SQL = f"""WITH b AS (SELECT doc_id, length({_TOC}) + 10 AS p1, length({_body(0)}) AS l1, length({_body(1)}) AS l2, length({_body(2)}) AS l3, length({_md_10k()}) AS n FROM documents),
 p AS (SELECT doc_id, n, p1, p1 + 21 + l1 AS p2, p1 + 21 + l1 + 27 + l2 + 8 AS p3, p1 + 21 + l1 + 27 + l2 + 8 + 33 + l3 AS p4 FROM b),
 h AS (
   SELECT doc_id, p1 AS pos, p2 AS e, 'I' AS part, '1' AS item, 'Business' AS title, '10k_parti_item1_business' AS id, 1 AS o FROM p
@@ -279,37 +301,38 @@ h AS (
 
 
 def _filings_md(spark, d) -> DataFrame:
-    md = _MD_10K.replace("chr(10)", "char(10)")
+    md = _md_10k("DIV").replace("chr(10)", "char(10)")
     return table(spark, d, "documents").select("doc_id", F.lit("10-K").alias("form"), F.expr(md).alias("markdown"))
 
 
 @query(_PARTS_SQL + " SELECT doc_id, CAST(pos AS INTEGER) AS pos, part, item, title FROM h")
 def g01_headings_10k(spark, d):
-    from .operators.headings import find_headings
-
-    h = _filings_md(spark, d).select("doc_id", F.explode(find_headings(F.col("markdown"), F.lit("10-K"))).alias("h"))
+    h = each(_filings_md(spark, d), "doc_id", headings.find_headings(F.col("markdown"), F.lit("10-K")))
     return h.select("doc_id", "h.pos", "h.part", "h.item", "h.title")
 
 
-@query("SELECT doc_id, CAST(k.pos AS INTEGER) AS pos, CAST(NULL AS VARCHAR) AS part, k.item, k.title FROM documents, (SELECT unnest([0, 32, 64]) AS pos, unnest(['2.02', '9.01', '8.01']) AS item, unnest(['Results of Operations', 'Exhibits; see page 3.Item 8.01 Other Events', 'Other Events']) AS title) AS k")
+@query("""SELECT doc_id, CAST(CASE k.i WHEN 1 THEN 0 ELSE 33 + length(CAST(doc_id AS VARCHAR)) + CASE k.i WHEN 3 THEN 32 ELSE 0 END END AS INTEGER) AS pos, CAST(NULL AS VARCHAR) AS part,
+  CASE k.i WHEN 1 THEN '2.0' || CAST(1 + doc_id % 6 AS VARCHAR) WHEN 2 THEN '9.01' ELSE '8.01' END AS item,
+  CASE k.i WHEN 1 THEN 'Results of Operations ' || CAST(doc_id AS VARCHAR) WHEN 2 THEN 'Exhibits; see page 3.Item 8.01 Other Events' ELSE 'Other Events' END AS title
+  FROM documents, (SELECT unnest([1, 2, 3]) AS i) AS k""")
 def g01_headings_8k(spark, d):
-    from .operators.headings import find_headings
-
-    md = F.concat(F.lit("Item 2.02 Results of Operations\nItem 9.01. Exhibits; see page 3.Item 8.01 Other Events\n\nend "), F.col("doc_id").cast("string"))
-    h = table(spark, d, "documents").select("doc_id", F.explode(find_headings(md, F.lit("8-K"))).alias("h"))
+    number = F.col("doc_id").cast("string")
+    md = F.concat(F.lit("Item 2.0"), (1 + F.col("doc_id") % 6).cast("string"), F.lit(" Results of Operations "), number, F.lit("\nItem 9.01. Exhibits; see page 3.Item 8.01 Other Events\n\nend "), number)
+    h = each(table(spark, d, "documents"), "doc_id", headings.find_headings(md, F.lit("8-K")))
     return h.select("doc_id", "h.pos", "h.part", "h.item", "h.title")
 
 
-@query("SELECT doc_id, CAST(0 AS INTEGER) AS pos, 'other' AS item, 'RISK FACTORS' AS title FROM documents UNION ALL SELECT doc_id, 43, 'other', 'USE OF PROCEEDS' FROM documents")
+@query("""SELECT doc_id, CAST(0 AS INTEGER) AS pos, 'other' AS item, 'RISK FACTORS ' || CAST(doc_id AS VARCHAR) AS title FROM documents
+  UNION ALL SELECT doc_id, CAST(44 + length(CAST(doc_id AS VARCHAR)) AS INTEGER), 'other', 'USE OF PROCEEDS' FROM documents WHERE doc_id % 3 > 0""")
 def g01_headings_general(spark, d):
-    from .operators.headings import find_headings
-
-    md = F.lit("**RISK FACTORS** and\n# Prospectus\n#  Risks\n# USE OF PROCEEDS\n**RISK FACTORS**\ntail **LATE TITLE**")
-    h = table(spark, d, "documents").select("doc_id", F.explode(find_headings(F.concat(md, F.lit("\n"), F.col("doc_id").cast("string")), F.lit("424B4"))).alias("h"))
+    number = F.col("doc_id").cast("string")
+    second = F.when(F.col("doc_id") % 3 > 0, "# USE OF PROCEEDS").otherwise("# use of proceeds")
+    md = F.concat(F.lit("**RISK FACTORS "), number, F.lit("** and\n# Prospectus\n#  Risks\n"), second, F.lit("\n**RISK FACTORS "), number, F.lit("**\ntail **LATE TITLE**"))
+    h = each(table(spark, d, "documents"), "doc_id", headings.find_headings(md, F.lit("424B4")))
     return h.select("doc_id", "h.pos", "h.item", "h.title")
 
 
-@query(_PARTS_SQL + f", md AS (SELECT doc_id, {_MD_10K} AS m FROM documents) SELECT doc_id, CAST(o - 1 AS INTEGER) AS ord, id, title, CAST(pos AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end, sha256(trim(substr(m, pos + 1, e - pos), ' ' || chr(10))) AS digest FROM h JOIN md USING (doc_id)")
+@query(_PARTS_SQL + f", md AS (SELECT doc_id, {_md_10k()} AS m FROM documents) SELECT doc_id, CAST(o - 1 AS INTEGER) AS ord, id, title, CAST(pos AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end, sha256(trim(substr(m, pos + 1, e - pos), ' ' || chr(10))) AS digest FROM h JOIN md USING (doc_id)")
 def g02_sections(spark, d):
     return sections.section_rows(_filings_md(spark, d)).select("doc_id", "ord", "id", "title", "char_start", "char_end", F.sha2("content", 256).alias("digest"))
 
@@ -405,15 +428,26 @@ def r10_period(spark, d):
     return table(spark, d, "events").select("event_id", text.period(s, e).alias("period"))
 
 
-@query("SELECT event_id, last_value(part IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS part_in_force FROM (SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN 'P' || CAST(event_id AS VARCHAR) END AS part FROM events)")
+_ROMAN = "['I', 'II', 'III', 'IV', 'V', 'VI', 'VII']"
+
+
+@query(f"""SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS item, part AS part_in_force FROM (
+  SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 3 = 0 AS named,
+    last_value(CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN ({_ROMAN})[l_linenumber] END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS part
+  FROM lineitem) WHERE NOT named""")
 def r11_part_carry(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id", F.expr("CASE WHEN event_id % 5 = 0 THEN 'P' || CAST(event_id AS STRING) END").alias("part"))
-    return sections.carry_part(e, "user_id", "event_id").select("event_id", "part_in_force")
+    line = F.expr("CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN 'PART ' || element_at(array('I', 'II', 'III', 'IV', 'V', 'VI', 'VII'), CAST(l_linenumber AS INT)) ELSE 'ITEM ' || CAST(l_linenumber AS STRING) || '. T' END")
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line"))))
+    md = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("md"))
+    h = each(md, "l_orderkey", headings.find_headings(F.col("md"), F.lit("10-K")))
+    return h.select("l_orderkey", "h.item", F.col("h.part").alias("part_in_force"))
 
 
 @query("SELECT user_id, event_id AS line, pos, rule FROM (SELECT *, row_number() OVER (PARTITION BY user_id, pos ORDER BY event_id, rule) AS n FROM (SELECT user_id, event_id, event_id % 7 AS pos, event_type AS rule FROM events)) WHERE n = 1")
 def r13_dedupe_matches(spark, d):
-    return sections.first_per_position(table(spark, d, "events").select("user_id", F.col("event_id").alias("line"), (F.col("event_id") % 7).alias("pos"), F.col("event_type").alias("rule")), "user_id")
+    match = F.struct((F.col("event_id") % 7).alias("pos"), F.col("event_id").alias("line"), F.col("event_type").alias("rule"))
+    found = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(match).alias("found"))
+    return each(found, "user_id", headings.unique_positions(F.col("found")), "x").select("user_id", "x.line", "x.pos", "x.rule")
 
 
 @query("SELECT doc_id, CAST(k AS INTEGER) AS ord, '10k_item1_same' || CASE k WHEN 0 THEN '' ELSE '_' || CAST(k AS VARCHAR) END AS id, CAST(CASE k WHEN 0 THEN 0 ELSE 1 END AS INTEGER) AS warnings FROM documents, (SELECT unnest([0, 1, 2]) AS k)")
@@ -499,7 +533,18 @@ def r34_page_names(spark, d):
     return table(spark, d, "part").select("p_partkey", site.page_name(sid).alias("page"))
 
 
-@query()
+_ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+_WHO = _ESCAPED.format("company_name || ' (' || cik || ')'")
+
+
+@query(f"""SELECT cik, cik || '/index.html' AS path,
+  '<!doctype html>' || chr(10) || '<html lang="en">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10) || '<meta name="viewport" content="width=device-width, initial-scale=1">' || chr(10)
+  || '<title>' || {_WHO} || '</title>' || chr(10) || '<style>{site.STYLE}</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '<header>' || chr(10) || '<div><a href="../index.html">← Companies</a></div>' || chr(10) || '<nav></nav>' || chr(10) || '</header>' || chr(10)
+  || '<h2>FILINGS</h2>' || chr(10) || '<div class="muted">' || {_WHO} || '</div>' || chr(10) || '<ul class="list">' || chr(10)
+  || string_agg('<li><a href="' || accession || '/index.html">' || form_type || ' ' || CAST(filing_date AS VARCHAR) || '</a> <span class="muted">· ' || accession || '</span></li>', chr(10) ORDER BY filing_date DESC, accession)
+  || chr(10) || '</ul>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS html,
+  string_agg(form_type || ' ' || CAST(filing_date AS VARCHAR), ' · ' ORDER BY filing_date DESC, accession) FILTER (n <= 3) AS summary
+  FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession) AS n FROM ({_ROWS_SQL})) GROUP BY cik, company_name""")
 def r35_company_pages(spark, d):
     return site.company_pages(_packs(spark, d)).select("cik", "path", "html", "summary")
 
@@ -511,3 +556,10 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p01_page_chunks"] = page_chunks
+ORACLES["p01_page_chunks"] = _chunk_sql(
+    1200,
+    f"SELECT page_id AS doc_id, visible AS text FROM ({ORACLES['h08_extract_text']})",
+    """SELECT w.doc_id AS page_id, count(*) AS chunks, CAST(sum((b - a) // 4) AS BIGINT) AS tokens,
+  min(substr(sha256('page:' || CAST(k AS VARCHAR) || ':' || trim(regexp_replace(lower(substr(text, a + 1, b - a)), '\\s+', ' ', 'g'))), 1, 16)) AS first_chunk
+FROM walk w JOIN texts t ON t.doc_id = w.doc_id WHERE k >= 0 GROUP BY w.doc_id""",
+)

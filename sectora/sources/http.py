@@ -77,7 +77,7 @@ class HttpReader:
             last = attempt == MAX_ATTEMPTS - 1
             try:
                 status, headers, body = self.transport(url, self.headers)
-            except OSError:
+            except Exception:  # whatever the transport raises, an answer that breaks off too
                 if last:
                     raise
                 self.sleep(pause_before(attempt, {}))

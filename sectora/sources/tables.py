@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,19 +47,33 @@ def scan_packs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def scan_packs_if_any(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`scan_packs`, without rows where there is no such folder yet."""
+    try:
+        return scan_packs(spark, path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        empty = "cik string, accession string, company_name string, form_type string, filing_date string, tokens_total long, source_url string, sections array<struct<id:string>>, artifacts map<string,string>, directory string"
+        return spark.createDataFrame([], empty)
+
+
 class CacheTable:
-    """URL contents as a Parquet table, partitioned by the first two digits of the key."""
+    """URL contents as Parquet: a folder per :meth:`put`, partitioned by the first two digits of the key."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folder(self):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(CACHE + ", prefix string").parquet(self.path)
-        except Exception as e:  # noqa: BLE001  no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], CACHE + ", prefix string")
+        """All rows as of now; puts are named one by one, so that plans of earlier and later states differ."""
+        folder, store = self._folder()
+        puts = [str(f.getPath()) for f in store.listStatus(folder)] if store.exists(folder) else []
+        kind = CACHE + ", put string, prefix string"
+        return self.spark.read.schema(kind).option("basePath", self.path).parquet(*puts) if puts else self.spark.createDataFrame([], kind)
 
     def missing(self, urls: DataFrame, now, max_age_seconds: int | None) -> DataFrame:
         return cache_misses(urls, self.read(), now, max_age_seconds)
@@ -65,7 +81,7 @@ class CacheTable:
     def put(self, rows: DataFrame) -> None:
         """Append (url, headers, content) rows."""
         full = rows.select(F.sha2("url", 256).alias("key"), "url", F.current_timestamp().alias("cached_at"), F.length("content").cast("long").alias("size"), "headers", "content")
-        full.withColumn("prefix", F.substring("key", 1, 2)).write.mode("append").partitionBy("prefix").parquet(self.path)
+        full.withColumn("prefix", F.substring("key", 1, 2)).write.partitionBy("prefix").parquet(f"{self.path}/put={uuid.uuid4().hex}")
 
     def newest(self) -> DataFrame:
         """The latest entry of each URL."""
@@ -75,14 +91,15 @@ class CacheTable:
         return self.read().agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
     def clear(self) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        folder, store = self._folder()
+        store.delete(folder, True)
 
 
 def fetch_urls(urls: DataFrame, make_reader, partitions: int = 1) -> DataFrame:
     """(url, headers, content, error) of each URL; ``make_reader`` builds one :class:`HttpReader` per partition.
 
-    The rate limit holds per partition, hence one partition by default.
+    The rate limit holds per partition, hence one partition by default: the source
+    allows so many requests a second in all, and more tasks would not speed it up.
     """
 
     def run(frames):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sectora.functions import html, text
 from sectora.operators import chunks, headings, lookups, sections
-from sectora.plans import export, pack, site
+from sectora.plans import pack, site
 from sectora.sources import http, tables
 
 
@@ -38,7 +38,8 @@ def test_slug_and_ids(spark):
     rng = random.Random(1)
     titles = ["".join(rng.choice("aB1 _&é \t.") + rng.choice(["", " and ", "x"]) for _ in range(rng.randrange(1, 40))) for _ in range(200)]
     assert column(spark, text.slugify, *titles) == [headings.slug(t, 30) for t in titles]
-    assert column(spark, text.clean_title, *titles, "a" * 200, "word " * 40) == [headings.tidy(t) for t in [*titles, "a" * 200, "word " * 40]]
+    parted = [re.sub("([a-z0-9])([A-Z])", r"\1 \2", " ".join(t.split())) for t in [*titles, "a" * 200, "word " * 40]]
+    assert column(spark, text.clean_title, *titles, "a" * 200, "word " * 40) == [t if len(t) <= 100 else t[:100].rpartition(" ")[0] if " " in t[:100] else t[:100] for t in parted]
     rows = [("10-K", "I", "1", "Business"), ("10-Q/A", None, "2", ""), ("8-K", "I", "2.02", "Results"), ("424B4", "", "other", "Risk Factors")]
     got = spark.createDataFrame(rows, "f string, p string, i string, t string").select(text.section_id(F.col("f"), F.col("p"), F.col("i"), F.col("t")).alias("o")).collect()
     assert [r.o for r in got] == ["10k_parti_item1_business", "10q_item2", "8k_item_2_02_results", "424b4_itemother_risk_factors"]
@@ -96,9 +97,9 @@ def test_markdown(source, md):
 
 
 def test_markdown_normalised(spark):
-    rng = random.Random(2)
-    docs = ["".join(rng.choice(["a", " ", "  ", "\n", "\r\n", "\r", "\t", " "]) for _ in range(40)) for _ in range(200)]
-    assert column(spark, text.normalize_markdown, *docs) == [html.normalised_markdown(d) for d in docs]
+    docs = ["a\r\nb\rc", "a\n\n\n\nb", "a \t\nb  \nc   \n d", "  \n a\u2003\n", ""]
+    assert column(spark, html.normalize_markdown, *docs) == ["a\nb\nc", "a\n\nb", "a\nb  \nc  \n d", "a", ""]
+    assert column(spark, html.safe_href, " https://x ", "JavaScript:x", " ", "data:1") == ["https://x", None, None, None]
 
 
 def test_markdown_to_html():
@@ -153,7 +154,7 @@ SIGNATURES"""
 def test_quarterly_headings():
     got = [(p, i, t) for _, _, p, i, t in headings.headings(QUARTERLY, "10-Q")]
     assert got[0] == ("I", "1", "Financial Statements")
-    assert ("I", "2", "Management Discussion and more.PART II Item 1 A. Risk") in got
+    assert ("I", "2", "Management Discussion and more.PART II Item 1A. Risk") in got
     assert ("II", "5", "Other Information") in got and got[-1] == ("II", "other", "SIGNATURES")
     assert not any(i == "9" for _, i, _ in got)
 
@@ -205,6 +206,15 @@ def test_facts_skip_odd_levels(spark):
     assert sorted((r.period, r.value) for r in lookups.facts_of(rows, "12").collect()) == [("e", "2"), ("s/e", "1.5")]
 
 
+def test_nested_facts_keep_types_and_order(spark):
+    values = [3, 1.5, "text", None, True]
+    body = {"facts": {"z": {"B": {"units": {"USD": [{"accn": "1", "end": "e", "val": v} for v in values], "EUR": [{"accn": "1", "val": 7}]}}, "A": {"units": {"USD": [{"accn": "1", "val": 2}]}}}, "a": {"N": {"units": {"x": [{"accn": "1", "val": 1}]}}}}}
+    nested = lookups.nested_facts(lookups.fact_rows(spark.createDataFrame([("1", json.dumps(body))], "cik string, json string")))
+    got = json.loads(nested.select(F.to_json("facts", {"ignoreNullFields": "false"}).alias("j")).first().j)
+    assert list(got) == ["z", "a"] and list(got["z"]) == ["B", "A"] and [f["value"] for f in got["z"]["B"]] == [*values, 7]
+    assert got["z"]["B"][0] == {"period": "e", "value": 3, "unit": "USD", "form": None, "frame": None}
+
+
 def test_files_of_a_filing(spark):
     index = {"directory": {"item": [{"name": n} for n in ("b.htm", "A.HTML", "a.html", "R1.htm", "ex10.htm", "x-index.html", "main.htm", "pic.jpg", "b.htm")]}}
     df = spark.createDataFrame([("1", "main.htm", json.dumps(index)), ("2", "only.htm", None)], "accession string, primary_document string, json string")
@@ -240,10 +250,24 @@ def test_http_retries_and_limits():
     assert reader.fetch_json("u") == {"a": 1} and naps == [60.0, 2.0]
     with pytest.raises(http.HttpError):
         http.HttpReader("me", lambda u, h: (404, {}, b""), sleep=naps.append).fetch("u")
-    limiter, pauses = http.RateLimiter(2, lambda: clock[0], pauses_add := [].append), None
+    pauses = []
+    limiter = http.RateLimiter(2, lambda: clock[0], pauses.append)
+    for _ in range(3):
+        limiter.acquire()
+    assert pauses == [0.5] and limiter.tokens == 0
+    clock[0] += 10  # the bucket holds no more than its rate
     for _ in range(3):
         limiter.acquire()
-    assert pauses is None and callable(pauses_add) and limiter.tokens == 0
+    assert pauses == [0.5, 0.5]
+    broken = [ValueError("short read"), EOFError(), (200, {}, b"ok")]
+
+    def breaks(url, headers):
+        answer = broken.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    assert http.HttpReader("me", breaks, sleep=naps.append).fetch("u")[0] == b"ok" and not broken
     assert http.gunzipped(b"plain", {"content-encoding": "gzip"}) == b"plain"
     assert http.HttpReader("me", lambda u, h: (200, {}, "\xe9".encode("latin-1").join([b'"', b'"']))).fetch_json("u") == "é"
 
@@ -281,9 +305,14 @@ def test_commands_end_to_end(spark, landing, tmp_path, capsys):
     m = json.loads(manifest)
     assert manifest.endswith("}\n") and m["generated_at"] == "2024-03-01T00:00:00Z" and [s["id"] for s in m["sections"]] == ["10k_parti_item1_business", "10k_parti_item2_properties"]
     for path, digest in m["artifacts"].items():
-        if path != "optional/xbrl.json":
-            assert hashlib.sha256((folder / path).read_bytes()).hexdigest() == digest
-    assert "We **sell** café." in (folder / "filing.full.md").read_text() and '"value": "5"' in (folder / "optional/xbrl.json").read_text()
+        assert hashlib.sha256((folder / path).read_bytes()).hexdigest() == digest
+    assert {str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_file() and not p.name.startswith(".")} == {*m["artifacts"], "manifest.json"}
+    assert "We **sell** café." in (folder / "filing.full.md").read_text() and '"value": 5' in (folder / "optional/xbrl.json").read_text()
+    capsys.readouterr()
+    assert main(["build", *common, "--form", "10k", "--out", str(out)], spark) == 0 and "Pack already exists, use --force to rebuild" in capsys.readouterr().out
+    (folder / "sections/stale.md").write_text("of an older build")
+    assert main(["build", *common, "--form", "10k", "--out", str(out), "--with-chunks", "--with-xbrl", "--force"], spark) == 0 and not (folder / "sections/stale.md").exists()
+    (out / "0000000042/.DS_Store").write_text("x")
     assert json.loads((folder / "optional/chunks.ndjson").read_text().splitlines()[0])["section_id"] == "10k_parti_item1_business"
     assert main(["company-llms", *common, "--out", str(out)], spark) == 0
     assert (out / "0000000042/llms.txt").read_text() == "# Acme & Co SEC Filings\n\n> CIK: 0000000042\n\n## Recent Filings\n\n- [10-K 2024-03-01](0000000042-24-000001/llms.txt)\n"
@@ -291,7 +320,51 @@ def test_commands_end_to_end(spark, landing, tmp_path, capsys):
     assert main(["site", "--packs", str(out), "--out", str(pages)], spark) == 0
     for path in ("index.html", "0000000042/index.html", "0000000042/0000000042-24-000001/index.html", "0000000042/0000000042-24-000001/full.html", "0000000042/0000000042-24-000001/sections/parti_item1_business.html", "0000000042/0000000042-24-000001/manifest.json"):
         assert (pages / path).exists(), path
-    assert "Acme &amp; Co (0000000042)" in (pages / "index.html").read_text()
+    assert "Acme &amp; Co (0000000042)" in (pages / "index.html").read_text() and not (pages / "0000000042/.DS_Store").exists()
+    legacy = out / "0000000042/000000004224000001"
+    folder.rename(legacy)
+    capsys.readouterr()
+    assert main(["build", *common, "--form", "10k", "--out", str(out)], spark) == 0 and "(legacy layout)" in capsys.readouterr().out and not folder.exists()
+    store = tables.CacheTable(spark, str(tmp_path / "kept"))
+    store.put(spark.createDataFrame([("u1", {"a": "b"}, bytearray(b"xyz"))], "url string, headers map<string,string>, content binary"))
+    assert main(["cache", "--cache", str(tmp_path / "kept")], spark) == 0 and main(["cache", "clear", "--cache", str(tmp_path / "kept")], spark) == 0
+    assert not (tmp_path / "kept").exists()
+
+
+def test_remote_build_from_http_to_pack(spark, tmp_path, capsys):
+    from sectora.cli import main
+
+    acc, top = "0000000042-24-000001", "https://www.sec.gov/Archives/edgar/data/0000000042/000000004224000001"
+    recent = {"form": ["10-K"], "accessionNumber": [acc], "filingDate": ["2024-03-01"], "primaryDocument": ["main.htm"]}
+    index = {"directory": {"item": [{"name": n} for n in ("b.htm", "main.htm", "gone.htm", "R1.htm", "ex1.htm")]}}
+    page = "<h2>ITEM 1. Business</h2><p>{}</p>"
+    site_map = {
+        "https://data.sec.gov/submissions/CIK0000000042.json": json.dumps({"name": "Acme", "filings": {"recent": recent}}).encode(),
+        f"{top}/index.json": json.dumps(index).encode(),
+        f"{top}/main.htm": page.format("caf\xe9").encode("latin-1"),
+        f"{top}/b.htm": b"<p>Second part</p>",
+        "https://data.sec.gov/api/xbrl/companyfacts/CIK0000000042.json": json.dumps({"facts": {"dei": {"N": {"units": {"USD": [{"accn": acc, "end": "2023-12-31", "val": 1.5}]}}}}}).encode(),
+    }
+    log = tmp_path / "log"
+
+    def make_reader():
+        def transport(url, headers):
+            with log.open("a") as f:
+                f.write(url + "\n")
+            return (200, {}, site_map[url]) if url in site_map else (404, {}, b"")
+
+        return http.HttpReader("me", transport)
+
+    argv = ["build", "--cache", str(tmp_path / "cache"), "--cik", "42", "--form", "10-K", "--out", str(tmp_path / "packs"), "--with-xbrl"]
+    assert main(argv, spark, make_reader) == 0
+    asked = log.read_text().split()
+    assert sorted(asked) == sorted([*site_map, f"{top}/gone.htm"])  # each once, exhibits and rendered files never
+    assert "Failed to fetch gone.htm: HTTP 404" in capsys.readouterr().err
+    folder = tmp_path / "packs/0000000042" / acc
+    assert "café" in (folder / "filing.full.md").read_text() and "Second part" in (folder / "filing.full.md").read_text() and '"value": 1.5' in (folder / "optional/xbrl.json").read_text()
+    assert main([*argv, "--form", "10-K", "--force"], spark, make_reader) == 0 and len(log.read_text().split()) == 2 * len(asked)
+    log.write_text("")
+    assert main(["list", "--cache", str(tmp_path / "cache"), "--cik", "42"], spark, make_reader) == 0 and not log.read_text()
 
 
 def test_built_filings_are_left_out(spark):
@@ -302,7 +375,35 @@ def test_built_filings_are_left_out(spark):
     r = pack.build_packs(filings).summary().first()
     assert r.sections_count == 1 and r.warnings[0].startswith("No section headings")
     pages = site.filing_overview(pack.build_packs(filings).manifests).first()
-    assert "<h2>SECTIONS</h2>" in pages.html and export.manifest_text({"b": datetime.datetime(2024, 1, 1), "a": "é"}) == '{\n  "a": "é",\n  "b": "2024-01-01T00:00:00Z"\n}\n'
+    assert "<h2>SECTIONS</h2>" in pages.html
+    manifest = next(f.content for f in pack.build_packs(filings).files.collect() if f.path.endswith("manifest.json"))
+    assert manifest.startswith('{\n  "artifacts": {\n    "filing.full.md": "') and '"generated_at": "2024-01-15T00:00:00Z"' in manifest and manifest.endswith("}\n")
+
+
+def test_a_build_reads_its_html_once_and_shuffles_nothing(spark):
+    row = ("0000000001", "0000000001-24-000001", "10-K", datetime.date(2024, 1, 15), "C", "m.htm", "<h2>Item 1. A</h2><p>" + "One sentence. " * 900 + "</p><h2>Item 2. B</h2>")
+    filings = spark.createDataFrame([row], "cik string, accession string, form_type string, filing_date date, company_name string, primary_document string, html string")
+    packs = pack.build_packs(filings, with_chunks=True)
+    plan = packs.files._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("over(") + plan.count("clean(") <= 12
+    files = {f.path.split("/", 2)[2]: f.content for f in packs.files.collect()}
+    lines = [json.loads(x) for x in files["optional/chunks.ndjson"].splitlines()]
+    assert [x["chunk_index"] for x in lines] == [0, 1, 2, 0] and "".join(x["text"] for x in lines[:3]) == files["sections/10k_item1_a.md"]
+    assert all(json.loads(files["manifest.json"])["artifacts"][p] == hashlib.sha256(c.encode()).hexdigest() for p, c in files.items() if p != "manifest.json")
+
+
+def test_packs_with_a_tokenizer(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from sectora.functions import tokens
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    row = ("0000000001", "0000000001-24-000001", "10-K", datetime.date(2024, 1, 15), "C", "m.htm", "<h2>Item 1. A</h2><p>" + "One sentence here. " * 300 + "</p>")
+    filings = spark.createDataFrame([row], "cik string, accession string, form_type string, filing_date date, company_name string, primary_document string, html string")
+    packs = pack.build_packs(filings, with_chunks=True, max_tokens=200, ranks=ranks)
+    count = lambda x: len(tokens.encoder(ranks).encode_ordinary(x))
+    r = packs.rows.first()
+    assert r.tokens_total == count(r.markdown) and r.manifest.sections[0].tokens_approx == count(r.sections[0].content) and r.warnings == []
+    assert len(r.chunks) > 3 and all(c.tokens == count(c.text) <= 200 for c in r.chunks)
 
 
 def test_streaming_ingest(spark, tmp_path):
@@ -310,10 +411,10 @@ def test_streaming_ingest(spark, tmp_path):
 
     land, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     row = lambda n: ("1", f"a{n}", "8-K", datetime.date(2024, 1, 1), "C", "m.htm", "<p>Item 2.02 Results</p>")
-    for n in (1, 2):
-        spark.createDataFrame([row(n)], FILINGS).write.mode("append").parquet(land)
+    for batch in ([1, 1], [2, 1], [2, 3, 3]):  # filings come again within a batch and in later ones
+        spark.createDataFrame([row(n) for n in batch], FILINGS).write.mode("append").parquet(land)
         ingest_sections(spark, land, target, state)
-    assert sorted(r.accession for r in spark.read.parquet(target).collect()) == ["a1", "a2"]
+    assert sorted(r.accession for r in spark.read.parquet(target).collect()) == ["a1", "a2", "a3"]
 
 
 def test_pluggable_tokens(spark):
