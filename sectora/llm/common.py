@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +28,13 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session names none (unit tests on one machine) a temporary folder is set.
+    Only where a session names none and runs on one machine (tests) a temporary folder is set.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -59,6 +65,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def released(run):
+    """A function over batches that gives the memory it has freed back to the system when its last batch is out.
+
+    A worker lives on for the next task, and what one operator's task had needed must not add to another's.
+    """
+
+    @functools.wraps(run)
+    def then_released(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass
+
+    return then_released
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the column as text, modulo ``n`` (null for null)."""
     return F.crc32(F.col(col).cast("string")) % n

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, released, written
 
 COSINE = 0.95
 WIDTH = 2.0
@@ -84,6 +84,7 @@ def _bucket_rows(classes: DataFrame, k: int, tables: int) -> DataFrame:
     """(bucket, at, rep, s0, s1): one row per class and table."""
     names = ["bucket", "at", "rep", "s0", "s1"]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             reps, vectors = b.column(0).to_numpy(), b.column(1)
@@ -128,6 +129,7 @@ def _near(rows: DataFrame, limit: int) -> DataFrame:
     """The rows of ``rows`` with a companion in their bucket and blocks whose sketch differs in no more than ``limit`` signs."""
     names = ["bucket", "bi", "bj", "side", "at", "rep"]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             if group.num_rows < 2:
@@ -190,6 +192,7 @@ def _local_stars(nodes: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _bucket_links(rows: DataFrame, cosine: float, k: int, tables: int) -> DataFrame:
     """(rep, links, root) of the classes that link within a bucket; rows are bucket, bi, bj, side, at, rep, mult, embedding."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             if group.num_rows < 2:

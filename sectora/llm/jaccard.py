@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, remove, written
+from .common import connected_components, released, remove, written
 
 WORDS = 4
 PERCENT = 85
@@ -184,6 +184,7 @@ def text_hash():
 
 
 def _set_rows(docs: DataFrame, words: int) -> DataFrame:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ns = [], []
@@ -211,6 +212,7 @@ def _involved(docs: DataFrame, words: int, percent: int) -> DataFrame:
     names = ["key", "a", "b"]
     flush_rows = 400_000
 
+    @released
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys: list[np.ndarray] = []
@@ -244,6 +246,7 @@ def _involved(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     yield from flush()
         yield from flush()
 
+    @released
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come by key; of a key that goes on in the next batch one member is carried over
         last_key, last_member = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -266,6 +269,7 @@ def _bodies(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(set_id, n, grams): the n-grams of the named documents."""
     chosen = docs.select("doc_id", "text").join(ids.select("doc_id"), "doc_id", "left_semi")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 200):

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # per width; a multiple of 8 (eight int16 weights travel as one 16-byte item)
 WINDOW = 256  # filter start positions per window
@@ -211,6 +213,7 @@ def identify_language(docs: DataFrame, model: ByteCnnRuntime, text: str = "text"
     at = docs.columns.index(text)
     schema = docs.select("*", F.lit("").alias(pred), F.lit(0.0).alias(score)).schema
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = [], []

@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .jaccard import spans_hashed
 
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 25_000  # pieces that one task packs at once
 MAX_ROUNDS = 8
-CACHE = 800_000  # bound: cached pieces per worker; the cache is emptied beyond it
-BATCH = 1 << 20  # bytes of text encoded at a time (a longer text at once)
+CACHE = 400_000  # bound: cached pieces per worker; the cache is emptied beyond it
+BATCH = 1 << 18  # bytes of text encoded at a time (a longer text at once)
 
 #: Byte classes. Latin-1 letters are the two bytes C3 9F and C3 A0 to C3 BF without C3 B7, once in lower case.
 _GAP, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
@@ -199,6 +199,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"] + ["ids"] * with_ids
     tail = np.asarray([END_ID], "<u4").tobytes()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode_many
         serial = 0
@@ -276,6 +277,7 @@ def _pack_round(pieces: DataFrame, groups: int, turn: int, last: bool, capacity:
     names = [*keep, "sequence_id", "offset", "closed", "saved"]
     g = F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(groups)).cast("long").alias("g")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 LEARN_TOXIC = 1500  # bound: labelled examples with label 1
 LEARN_CLEAN = 2500  # bound: labelled examples with label 0
@@ -45,6 +45,7 @@ def words_of(text: str | None) -> list[bytes]:
 def _example_words(rows: DataFrame) -> DataFrame:
     """(doc_id, toxic, word, sketch): distinct words of each labelled text with three min-hashes of its word triples."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
@@ -248,6 +249,7 @@ class BlockMaxIndex:
 def _document_frequencies(docs: DataFrame, index: BlockMaxIndex) -> tuple[np.ndarray, int]:
     """How many of all documents hold each index term, and how many documents there are."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(index.terms), np.int64), 0
         get = index.terms.get
@@ -307,6 +309,7 @@ def train_toxicity_index(docs: DataFrame, labels: DataFrame, learn) -> BlockMaxI
     index = BlockMaxIndex(terms, weight, [], [], [])
     texts = labelled_sample(docs, labels, learn).join(keep, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vs = [index.arrays(words_of(t.as_py())) for t in b.column(2)]
@@ -344,6 +347,7 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex, text: str = "text", sc
     out = docs.select("*", F.lit(0.0).alias(score), *([F.lit(None).cast(kind).alias(evidence)] if evidence else []))
     arrow_kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores, proof = [], []
