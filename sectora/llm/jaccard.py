@@ -2,11 +2,12 @@
 
 A document is its set of word n-grams, as 64-bit hashes.  Two sets of sizes m <= n
 with 100 * overlap >= T * union differ in at most D = floor((m + n) * (100 - T) /
-(100 + T)) n-grams.  A first cut of the hash range into D + 1 fragments finds the
-sets that can link at all: one fragment at least holds the same n-grams in both
-sets of a linking pair, so sets that share no digest of a non-empty fragment go.
-A set so sparse that its differences could fill all its non-empty fragments also
-offers its prefix n-grams.
+(100 + T)) n-grams.  A first cut of the hash range into D + D / 8 + 1 fragments finds
+the sets that can link at all: of F non-empty fragments F - D at least hold the same
+n-grams in both sets of a linking pair, so sets that share fewer digests with other
+sets go, such as those that share a passage only.  A set so sparse that its differences
+could fill all its non-empty fragments also offers its prefix n-grams, and one met
+digest is enough for it.
 
 Among the sets left the global n-gram order is: class of document frequency (its
 binary length), then hash, rare n-grams first.  A pair can only link if it shares
@@ -155,23 +156,28 @@ def band_edges(limit: int) -> list[int]:
 _EDGES = band_edges(1 << 40)
 
 
-def signatures(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Digests of the non-empty fragments of a set, for its own size band and every band where a larger partner may lie."""
+def signatures(grams: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """Digests of the non-empty fragments of a set, for its own size band and every band where a larger partner may lie,
+    and how many of them it shares at least with other sets if it links with one."""
     n = len(grams)
     band = int(np.searchsorted(_EDGES, n, "right")) - 1
     out = []
+    need = n
     mixed = mix(grams)
     for b in range(band, int(np.searchsorted(_EDGES, n * 100 // percent, "right"))):
         most = _EDGES[b + 1] - 1
-        k = 2 * most * (100 - percent) // (100 + percent) + 1
+        apart = 2 * most * (100 - percent) // (100 + percent)
+        k = apart + apart // 8 + 1
         place = ((grams >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         out.append(mix(np.add.reduceat(mixed, first) ^ mix(place[first] + np.uint64(b << 40))))
         partner = min(most, n * 100 // percent)
-        if len(first) <= (n + partner) * (100 - percent) // (100 + percent):
+        equal = len(first) - (n + partner) * (100 - percent) // (100 + percent)
+        need = min(need, equal)
+        if equal < 1:
             prefix = n - -(-n * percent // 100) + 1
             out.append(mix(grams[:prefix] ^ np.uint64(0x5DEECE66D5DEECE6)))
-    return np.unique(np.concatenate(out)).view(np.int64)
+    return np.unique(np.concatenate(out)).view(np.int64), max(1, need)
 
 
 def _batch(names: list[str], *arrays) -> pa.RecordBatch:
@@ -197,37 +203,39 @@ def _set_rows(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text", text_hash()).mapInArrow(run, "doc_id long, text_hash long, set_id long, n long")
 
 
-def _runs(key: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, member) rows by key, with the smallest member of each key."""
-    order = np.lexsort((member, key))
-    key, member = key[order], member[order]
-    keep = np.concatenate([[True], (key[1:] != key[:-1]) | (member[1:] != member[:-1])]) if len(key) else np.zeros(0, bool)
-    key, member = key[keep], member[keep]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key, member, np.repeat(member[first], np.diff(np.append(first, len(key))))
+_ALONE, _MET = -1, -2  # what a map task knows of a key: one set of its own holds it, or several
 
 
 def _involved(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The ids of sets that share a fragment with another set; each map task sends one set per fragment."""
-    names = ["key", "a", "b"]
+    """The ids of sets that share as many fragments with other sets as a link needs; each map task sends one set per fragment.
+
+    A set that occurs in several map tasks may be counted more than once, which only lets more sets through.
+    """
+    names = ["key", "a", "need", "c"]
     flush_rows = 400_000
 
     @released
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
+        owners: list[tuple[int, int, int]] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
             if not keys:
                 return
-            key, member, low = _runs(np.concatenate(keys), np.concatenate(owners))
-            lead = member == low
-            yield _batch(names, key[lead], member[lead], member[lead])
-            pairs = np.unique(np.stack([low[~lead], member[~lead]], 1), axis=0)
-            yield _batch(names, mix(pairs[:, 1].astype(np.uint64)).view(np.int64), pairs[:, 0], pairs[:, 1])
+            ids, sizes, needs = (np.asarray(c, np.int64) for c in zip(*owners, strict=True))
+            key, member = np.concatenate(keys), np.repeat(np.arange(len(ids)), sizes)
+            order = np.argsort(key, kind="stable")
+            key, member = key[order], member[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            lead = np.zeros(len(key), bool)
+            lead[first] = True
+            met = np.where(np.diff(np.append(first, len(key))) > 1, _MET, _ALONE)
+            yield _batch(names, key[first], ids[member[first]], needs[member[first]], met)
+            others, count = np.unique(member[~lead], return_counts=True)
+            yield _batch(names, mix(ids[others].astype(np.uint64)).view(np.int64), ids[others], needs[others], count)
             keys.clear()
             owners.clear()
             held = 0
@@ -238,9 +246,9 @@ def _involved(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     me = set_id(g)
                     if len(g) and me not in seen:
                         seen.add(me)
-                        sig = signatures(g, percent)
+                        sig, need = signatures(g, percent)
                         keys.append(sig)
-                        owners.append(np.full(len(sig), me, np.int64))
+                        owners.append((me, len(sig), need))
                         held += len(sig)
                 if held >= flush_rows:
                     yield from flush()
@@ -248,21 +256,32 @@ def _involved(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     @released
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come by key; of a key that goes on in the next batch one member is carried over
-        last_key, last_member = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # rows come by key; of a key that goes on in the next batch one row is carried over
+        carried = [np.zeros(0, np.int64)] * 4
         for b in batches:
-            k, x, y = (c.to_numpy() for c in b.columns)
-            direct = x != y
-            done = [x[direct], y[direct]]
-            if not direct.all():
-                key, member, low = _runs(np.concatenate([last_key, k[~direct]]), np.concatenate([last_member, x[~direct]]))
-                far = member != low
-                done += [low[far], member[far]]
-                last_key, last_member = key[-1:], member[-1:]
-            yield _batch(["set_id"], np.unique(np.concatenate(done)))
-
-    sent = docs.select("text").mapInArrow(emit, "key long, a long, b long")
-    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(reduce, "set_id long").distinct()
+            rows = [c.to_numpy() for c in b.columns]
+            own = rows[3] < 0
+            ids, needs, counts = [rows[1][~own]], [rows[2][~own]], [rows[3][~own]]
+            if own.any():
+                key, member, need, c = (np.concatenate([x, y[own]]) for x, y in zip(carried, rows, strict=True))
+                order = np.lexsort((c, member, key))
+                key, member, need, c = key[order], member[order], need[order], c[order]
+                once = np.concatenate([[True], (key[1:] != key[:-1]) | (member[1:] != member[:-1])])
+                key, member, need, c = key[once], member[once], need[once], c[once]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                sizes = np.diff(np.append(first, len(key)))
+                low = np.minimum.reduceat(c, first)
+                met = np.repeat((sizes > 1) | (low == _MET), sizes)
+                carried = [key[-1:], member[-1:], need[-1:], low[-1:]]
+                found, at, count = np.unique(member[met], return_index=True, return_counts=True)
+                ids.append(found)
+                needs.append(need[met][at])
+                counts.append(count)
+            yield _batch(["set_id", "need", "c"], np.concatenate(ids), np.concatenate(needs), np.concatenate(counts))
+
+    sent = docs.select("text").mapInArrow(emit, "key long, a long, need long, c long")
+    counted = sent.repartition("key").sortWithinPartitions("key").mapInArrow(reduce, "set_id long, need long, c long")
+    return counted.groupBy("set_id").agg(F.max("need").alias("need"), F.sum("c").alias("c")).where("c >= need").select("set_id")
 
 
 def _bodies(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
