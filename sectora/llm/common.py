@@ -65,6 +65,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held_by(module: str) -> dict:
+    """What a module keeps in a worker between tasks; it goes when another module's tasks come."""
+    return _HELD.setdefault(module, {})
+
+
+def only_keep(module: str) -> None:
+    for name, held in _HELD.items():
+        if name != module:
+            held.clear()
+
+
 def released(run):
     """A function over batches that gives the memory it has freed back to the system when its last batch is out.
 
@@ -73,6 +87,7 @@ def released(run):
 
     @functools.wraps(run)
     def then_released(batches):
+        only_keep(run.__module__)
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

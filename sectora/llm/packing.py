@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import held_by, released, written
 from .jaccard import spans_hashed
 
 CAPACITY = 4096
@@ -182,7 +182,7 @@ class CachedEncoder:
         return [ids[a:b] for a, b in itertools.pairwise(cuts)]
 
 
-_ENCODERS: dict[str, CachedEncoder] = {}
+_ENCODERS: dict[str, CachedEncoder] = held_by(__name__)
 
 
 def encoder(path: str) -> CachedEncoder:

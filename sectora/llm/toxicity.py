@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import held_by, released, written
 
 LEARN_TOXIC = 1500  # bound: labelled examples with label 1
 LEARN_CLEAN = 2500  # bound: labelled examples with label 0
@@ -82,7 +82,7 @@ def _slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-_LOADED: dict[str, BlockMaxIndex] = {}
+_LOADED: dict[str, BlockMaxIndex] = held_by(__name__)
 
 
 def _restored(key: str, terms: bytes, *rest) -> BlockMaxIndex:
